@@ -11,8 +11,8 @@ OVERESTIMATE_ALERT = 1.5
 
 def efficiency(predicted: Column, requested: Column) -> Column:
     """Predicted share of the requested time in percent, at most 100."""
-    share = F.least(F.try_divide(predicted, requested) * 100, F.lit(100.0))
-    return F.when(requested <= 0, F.lit(0.0)).otherwise(share)
+    share = F.try_divide(predicted, requested) * 100
+    return F.when(requested <= 0, F.lit(0.0)).when(share > 100, F.lit(100.0)).otherwise(share)
 
 
 def walltime_advice(predicted: Column, requested: Column) -> Column:

@@ -7,12 +7,13 @@ from pyspark.sql import Column, functions as F
 CORES_PER_NODE = 32
 
 
-def _at_least_one(c: Column) -> Column:
-    return F.greatest(c.cast("double"), F.lit(1.0))
+def at_least_one(c: Column) -> Column:
+    """The larger of the value and 1; unlike `greatest`, a missing value stays missing."""
+    return F.when(c < 1, F.lit(1.0)).otherwise(c.cast("double"))
 
 
 def cpu_memory_ratio(procs: Column, mem: Column) -> Column:
-    return procs / _at_least_one(mem)
+    return procs / at_least_one(mem)
 
 
 def total_compute_units(procs: Column, nodes: Column) -> Column:
@@ -24,19 +25,19 @@ def resource_intensity(procs: Column, nodes: Column) -> Column:
 
 
 def memory_per_node(mem: Column, nodes: Column) -> Column:
-    return mem / _at_least_one(nodes)
+    return mem / at_least_one(nodes)
 
 
 def walltime_resource_ratio(wall: Column, procs: Column, nodes: Column) -> Column:
-    return wall / _at_least_one(total_compute_units(procs, nodes))
+    return wall / at_least_one(total_compute_units(procs, nodes))
 
 
 def memory_per_cpu(mem: Column, procs: Column) -> Column:
-    return mem / _at_least_one(procs)
+    return mem / at_least_one(procs)
 
 
 def cpu_efficiency_score(procs: Column, nodes: Column) -> Column:
-    return procs / _at_least_one(nodes.cast("bigint") * CORES_PER_NODE)
+    return procs / at_least_one(nodes.cast("bigint") * CORES_PER_NODE)
 
 
 def job_complexity_score(procs: Column, nodes: Column, wall: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from queuelens.functions.resources import at_least_one
 from queuelens.operators.quantiles import approx_quantiles, exact_quantiles
 from queuelens.operators.scalars import only_row, unpivot_row
 
@@ -17,7 +18,7 @@ def _quantiles(df: DataFrame, columns: dict, by: Sequence[str] = (), mode: str =
 
 def overrequest_ratio() -> Column:
     """How many times the run time a job asked for."""
-    return F.col("wallclock_req") / F.greatest(F.col("run_time"), F.lit(1))
+    return F.col("wallclock_req") / at_least_one(F.col("run_time"))
 
 
 def user_stats(df: DataFrame, quantile_mode: str = "exact") -> DataFrame:

@@ -191,6 +191,10 @@ def trim_thresholds(df: DataFrame, q_processors: float = TRIM_QUANTILE, q_memory
     return found.select(F.col("processors_req")[0].alias("max_processors"), F.col("mem_req")[0].alias("max_mem"))
 
 
+def _trim(df: DataFrame, max_processors: Column, max_mem: Column) -> DataFrame:
+    return df.where((F.col("processors_req") <= max_processors) & (F.col("mem_req") <= max_mem))
+
+
 def trim_percentile(
     df: DataFrame,
     q_processors: float = TRIM_QUANTILE,
@@ -198,7 +202,7 @@ def trim_percentile(
 ) -> DataFrame:
     """Drops oversized requests; both cuts are taken before either is applied."""
     cut = only_row(trim_thresholds(df, q_processors, q_memory))
-    return df.where((F.col("processors_req") <= cut["max_processors"]) & (F.col("mem_req") <= cut["max_mem"]))
+    return _trim(df, cut["max_processors"], cut["max_mem"])
 
 
 def completed_only(df: DataFrame) -> DataFrame:
@@ -221,6 +225,16 @@ def clean_jobs(
     return completed_only(trim_percentile(sane_jobs(df, low, high), q_processors, q_memory))
 
 
+def clean_jobs_fixed(df: DataFrame, low: int = MIN_RUNTIME, high: int = MAX_RUNTIME) -> DataFrame:
+    """The same rows, with the trimming cuts looked up now and set as constants.
+
+    For a caller that reads the result several times: every read is then a plain filtered scan.
+    """
+    sane = sane_jobs(df, low, high)
+    cut = trim_thresholds(sane).first()
+    return completed_only(_trim(sane, F.lit(cut["max_processors"]), F.lit(cut["max_mem"])))
+
+
 def clean_funnel(df: DataFrame, low: int = MIN_RUNTIME, high: int = MAX_RUNTIME) -> DataFrame:
     """Rows left after each cleaning stage, counted in one pass."""
     cut = only_row(trim_thresholds(sane_jobs(df, low, high)))

@@ -64,21 +64,18 @@ def exact_quantiles(
         F.sum("n").over(Window.partitionBy(*group)).alias("total"),
     )
 
-    def rank(p: float) -> Column:
-        return (F.col("total") - 1) * F.lit(float(p))
+    # The probabilities wanted from the row's column.
+    wanted = F.array(*[F.array(*[F.lit(float(p)) for p in columns[c]]) for c in names])
+    probabilities = F.get(wanted, F.col("f"))
 
-    def holds(p: float, edge) -> Column:
-        at = edge(rank(p))
+    def rank(p: Column) -> Column:
+        return (F.col("total") - 1) * p
+
+    def holds(at: Column) -> Column:
         return (at >= F.col("before")) & (at < F.col("after"))
 
-    edges = (F.floor, F.ceil)
-    # One CASE rather than OR-ed conjunctions: nothing of it can be pushed below the counting, so
-    # both readers of the counts keep the same subplan and share its exchange.
-    wanted = F.lit(False)
-    for i, c in enumerate(names):
-        any_rank = reduce(lambda a, b: a | b, [holds(p, e) for p in columns[c] for e in edges])
-        wanted = F.when(F.col("f") == i, any_rank).otherwise(wanted)
-    targets = placed.where(wanted).select(*group, "b", "before", "total")
+    any_rank = F.exists(probabilities, lambda p: holds(F.floor(rank(p))) | holds(F.ceil(rank(p))))
+    targets = placed.where(any_rank).select(*group, "b", "before", "total")
     # Without groups the target table has at most two rows per probability, whatever the input.
     side = F.broadcast(targets) if not by else targets
     keys = [*group, "b"]
@@ -90,33 +87,30 @@ def exact_quantiles(
         .agg(F.sum("n").alias("n"), F.min("before").alias("base"), F.min("total").alias("total"))
     )
     within = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = inside.select(
-        *group, "v", "total",
-        (F.col("base") + F.sum("n").over(within) - F.col("n")).alias("before"),
-        (F.col("base") + F.sum("n").over(within)).alias("after"),
-    )
-
-    def pick(i: int, p: float, edge) -> Column:
-        return F.max(F.when((F.col("f") == i) & holds(p, edge), F.col("v")))
+    ranked = inside.select(*group, "v", "total", "n", (F.col("base") + F.sum("n").over(within)).alias("after"))
+    ranked = ranked.withColumn("before", F.col("after") - F.col("n"))
 
+    depth = max(len(ps) for ps in columns.values())
     aggs = []
-    for i, c in enumerate(names):
-        for j, p in enumerate(columns[c]):
-            frac = F.max(F.when(F.col("f") == i, rank(p) - F.floor(rank(p))))
-            aggs += [
-                pick(i, p, F.floor).alias(f"lo_{i}_{j}"),
-                pick(i, p, F.ceil).alias(f"hi_{i}_{j}"),
-                frac.alias(f"fr_{i}_{j}"),
-            ]
-    grouped = ranked.groupBy(*by).agg(*aggs)
-
-    def interpolated(i: int, j: int) -> Column:
-        lo, hi = F.col(f"lo_{i}_{j}"), F.col(f"hi_{i}_{j}")
-        return lo + (hi - lo) * F.col(f"fr_{i}_{j}")
-
-    return grouped.select(
+    for j in range(depth):
+        at = rank(F.get(probabilities, F.lit(j)))
+        aggs += [
+            F.max(F.when(holds(F.floor(at)), F.col("v"))).alias(f"lo_{j}"),
+            F.max(F.when(holds(F.ceil(at)), F.col("v"))).alias(f"hi_{j}"),
+            F.max(at - F.floor(at)).alias(f"fr_{j}"),
+        ]
+    found = F.array(
+        *[F.col(f"lo_{j}") + (F.col(f"hi_{j}") - F.col(f"lo_{j}")) * F.col(f"fr_{j}") for j in range(depth)]
+    )
+    per_column = ranked.groupBy(*group).agg(*aggs).select(*by, F.struct("f", found.alias("q")).alias("e"))
+    # One entry per column asked for.
+    wide = per_column.groupBy(*by).agg(F.map_from_entries(F.collect_list("e")).alias("m"))
+    return wide.select(
         *by,
-        *[F.array(*[interpolated(i, j) for j in range(len(columns[c]))]).alias(c) for i, c in enumerate(names)],
+        *[
+            F.array(*[F.get(F.col("m")[i], F.lit(j)) for j in range(len(columns[c]))]).alias(c)
+            for i, c in enumerate(names)
+        ],
     )
 
 

@@ -145,9 +145,8 @@ def fit(df: DataFrame, advanced: bool = True, with_stats: bool = False) -> Featu
     thresholds = fit_thresholds(df).first().asDict()
     users = queues = None
     if advanced and "user" in df.columns:
-        ratio = F.coalesce(F.col("wallclock_req"), F.lit(thresholds["wallclock_median"])) / F.greatest(
-            F.col("run_time"), F.lit(1)
-        )
+        asked = F.coalesce(F.col("wallclock_req"), F.lit(thresholds["wallclock_median"]))
+        ratio = asked / res.at_least_one(F.col("run_time"))
         per_user = df.groupBy("user").agg(
             F.avg("run_time").alias("runtime_mean"),
             F.count("run_time").alias("job_count"),

@@ -12,7 +12,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from queuelens.operators import evaluation
-from queuelens.operators.filters import clean_jobs, log_target
+from queuelens.operators.filters import clean_jobs_fixed, log_target
 from queuelens.operators.splits import temporal_split
 from queuelens.plans import features
 from queuelens.session import materialize
@@ -55,9 +55,12 @@ class TrainedEnsemble:
 
 
 def training_table(jobs: DataFrame) -> DataFrame:
-    """Cleaned rows with their split, stored once with a folder per split."""
-    clean = materialize(clean_jobs(jobs), "clean-jobs")
-    return materialize(temporal_split(clean), "split-jobs", partition_by=("split",))
+    """Cleaned rows with their split, stored once with a folder per split.
+
+    Trimming cuts and split keys are searched for first (narrow scans), so that the log is then
+    filtered, labelled and written in a single pass without a shuffle.
+    """
+    return materialize(temporal_split(clean_jobs_fixed(jobs)), "split-jobs", partition_by=("split",))
 
 
 def assemble(frame: DataFrame, columns: list[str], output: str = "features", keep: list[str] | None = None) -> DataFrame:

@@ -8,11 +8,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from queuelens import views
-from queuelens.operators.filters import clean_jobs
+from queuelens.operators.filters import clean_jobs_fixed, valid_request
 from queuelens.operators.reports import failed_rows, scored_rows, union_results
-from queuelens.operators.filters import normalise_request, valid_request
 from queuelens.plans import features, training
 from queuelens.registry.ctes import CTES
+from queuelens.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,11 +67,16 @@ def out(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def jobs(spark: SparkSession, sf: str) -> DataFrame:
-    return views.jobs(spark, sf)
+    """The job log as a stored table, derived once per session from `events`.
+
+    Queries read it as they would read a real log: with pushed filters and pruned columns.
+    """
+    return _once(spark, sf, "jobs", lambda: materialize(views.jobs(spark, sf), "jobs"))
 
 
 def clean(spark: SparkSession, sf: str) -> DataFrame:
-    return clean_jobs(views.jobs(spark, sf))
+    """The cleaned log, for queries that start from one."""
+    return _once(spark, sf, "clean", lambda: materialize(clean_jobs_fixed(jobs(spark, sf)), "clean"))
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,7 +85,7 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
 
 def service_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Scoring requests with job-log column names; a missing walltime stays missing."""
-    return views.job_requests(spark, sf).withColumnsRenamed(
+    return views.job_requests_from_jobs(jobs(spark, sf)).withColumnsRenamed(
         {"cpus_req": "processors_req", "walltime_req": "wallclock_req"}
     )
 
@@ -132,7 +137,7 @@ def forget_fitted() -> None:
 
 
 def split_table(spark: SparkSession, sf: str) -> DataFrame:
-    return _once(spark, sf, "split", lambda: training.training_table(views.jobs(spark, sf)))
+    return _once(spark, sf, "split", lambda: training.training_table(jobs(spark, sf)))
 
 
 def train_rows(spark: SparkSession, sf: str) -> DataFrame:

@@ -50,7 +50,7 @@ def scan_json(spark, sf):
 )
 def scan_request_csv(spark, sf):
     columns = [f.name for f in REQUEST_SCHEMA.fields]
-    path = writers.sink_csv(views.job_requests(spark, sf).select(*columns), scratch_path(spark, "requests-csv"))
+    path = writers.sink_csv(views.job_requests_from_jobs(jobs(spark, sf)).select(*columns), scratch_path(spark, "requests-csv"))
     return readers.scan_request_csv(spark, path).where(F.col("_corrupt").isNull()).select(*columns)
 
 
@@ -139,12 +139,12 @@ def save_load_models(spark, sf):
          ('partition'), ('qos'), ('gpus_req')) AS c(name) GROUP BY c.name""",
 )
 def required_columns(spark, sf):
-    return filters.required_columns(views.job_requests(spark, sf), [*filters.REQUEST_COLUMNS, "gpus_req"])
+    return filters.required_columns(views.job_requests_from_jobs(jobs(spark, sf)), [*filters.REQUEST_COLUMNS, "gpus_req"])
 
 
 def _uploaded(spark, sf):
     """Requests as untyped text, with unreadable entries."""
-    return views.job_requests(spark, sf).select(
+    return views.job_requests_from_jobs(jobs(spark, sf)).select(
         "request_id",
         F.when(F.col("request_id") % 31 == 0, "n/a").otherwise(F.concat(F.col("cpus_req"), F.lit(".5"))).alias("cpus_req"),
         F.col("nodes_req").cast("string").alias("nodes_req"),
@@ -269,7 +269,7 @@ def completed_only(spark, sf):
 
 @query("clean_jobs", f"SELECT {JOB_SQL} FROM clean_jobs")
 def clean_jobs(spark, sf):
-    return out(clean(spark, sf), JOB_COLUMNS)
+    return out(filters.clean_jobs(jobs(spark, sf)), JOB_COLUMNS)
 
 
 @query(
@@ -330,7 +330,7 @@ def log_target(spark, sf):
 )
 def normalise_request(spark, sf):
     names = ["request_id", "processors_req", "nodes_req", "mem_req", "wallclock_req", "partition", "qos", "submit_time"]
-    return out(filters.normalise_request(views.job_requests(spark, sf)), names)
+    return out(filters.normalise_request(views.job_requests_from_jobs(jobs(spark, sf))), names)
 
 
 @query(
@@ -339,7 +339,7 @@ def normalise_request(spark, sf):
        FROM service_requests""",
 )
 def convert_units(spark, sf):
-    df = views.job_requests(spark, sf).select(
+    df = views.job_requests_from_jobs(jobs(spark, sf)).select(
         "request_id", (F.col("mem_req") / 1000).alias("mem_gb"), (F.col("walltime_req") / 7200).alias("walltime_hours")
     )
     return filters.convert_units(df).select("request_id", "mem_req", "walltime_req")

@@ -17,6 +17,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.exists(hadoop_path) and system.getFileStatus(hadoop_path).isFile()
+
+
 def _must_exist(spark: SparkSession, path: str) -> None:
     if not path_exists(spark, path):
         raise FileNotFoundError(f"data file not found: {path}")
@@ -89,9 +95,15 @@ def pick_source(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
 def stream_source(
     spark: SparkSession, path: str, schema: T.StructType, kind: str = "parquet", files_per_trigger: int = 64, **options: str
 ) -> DataFrame:
-    """A folder that receives request files, as a stream. `kind='kafka'` reads JSON messages."""
+    """A folder that receives request files (or one such file), as a stream.
+
+    `kind='kafka'` reads JSON messages from a topic instead.
+    """
     reader = spark.readStream
     if kind == "kafka":
         raw = reader.format("kafka").options(**options).option("subscribe", path).load()
         return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("m")).select("m.*")
+    if is_file(spark, path):
+        path, _, name = path.rpartition("/")
+        reader = reader.option("pathGlobFilter", name)
     return reader.schema(schema).option("maxFilesPerTrigger", files_per_trigger).options(**options).format(kind).load(path)
