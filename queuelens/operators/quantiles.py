@@ -30,19 +30,21 @@ def exact_quantiles(
     columns: dict[str, Sequence[float]],
     by: Sequence[str] = (),
     weight: str | None = None,
+    counts_as: str | None = None,
 ) -> DataFrame:
     """One row per group with one array column per entry of `columns`.
 
     `columns` maps a numeric column to the probabilities wanted from it; the array holds the
     linearly interpolated quantiles in that order (NULL where the group has no value). NULL,
     NaN and infinite values are left out. With `weight`, a row stands for that many equal rows.
-    Without `by` the result is exactly one row.
+    Without `by` the result is exactly one row. `counts_as` names an extra array column with
+    the number of values that were found in each column.
     """
     names = list(columns)
     by = list(by)
     packed = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(names)])
     count = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    finite = F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != F.lit(float("inf")))
+    finite = F.abs("v") < F.lit(float("inf"))  # not NULL, and NaN sorts above infinity
     values = (
         df.select(*by, count.alias("n"), F.explode(packed).alias("x"))
         .select(*by, "n", F.col("x.f").alias("f"), F.col("x.v").alias("v"))
@@ -102,16 +104,15 @@ def exact_quantiles(
     found = F.array(
         *[F.col(f"lo_{j}") + (F.col(f"hi_{j}") - F.col(f"lo_{j}")) * F.col(f"fr_{j}") for j in range(depth)]
     )
-    per_column = ranked.groupBy(*group).agg(*aggs).select(*by, F.struct("f", found.alias("q")).alias("e"))
+    entry = F.struct("f", F.struct(found.alias("q"), F.col("found").alias("n")))
+    per_column = ranked.groupBy(*group).agg(*aggs, F.max("total").alias("found")).select(*by, entry.alias("e"))
     # One entry per column asked for.
     wide = per_column.groupBy(*by).agg(F.map_from_entries(F.collect_list("e")).alias("m"))
-    return wide.select(
-        *by,
-        *[
-            F.array(*[F.get(F.col("m")[i], F.lit(j)) for j in range(len(columns[c]))]).alias(c)
-            for i, c in enumerate(names)
-        ],
-    )
+    entries = [F.col("m")[i] for i in range(len(names))]
+    arrays = [F.array(*[F.get(e["q"], F.lit(j)) for j in range(len(columns[c]))]).alias(c) for e, c in zip(entries, names)]
+    if counts_as:
+        arrays.append(F.array(*[F.coalesce(e["n"], F.lit(0)) for e in entries]).alias(counts_as))
+    return wide.select(*by, *arrays)
 
 
 def approx_quantiles(

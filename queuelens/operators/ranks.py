@@ -25,12 +25,14 @@ def keys_at_ranks(
     order: Sequence[Column],
     ranks: Callable[[int], Sequence[int]],
     small: int = SMALL_BRACKET,
+    prune: Callable[[Any], Column] | None = None,
 ) -> tuple[int, list[tuple | None]]:
     """(row count, for each 0-based rank the `order` key of the row holding it).
 
     `levels` are ever finer buckets that agree with `order`; each must have a modest number of
     distinct values inside one value of the level before it. Only the last, small bracket is
     sorted, and only one row per rank reaches the driver. A rank past the end gives None.
+    `prune` restates a value of the first level as a predicate that a file source can skip by.
     """
     first = df.groupBy(levels[0].alias("key")).agg(F.count(F.lit(1)).alias("n")).persist()
     try:
@@ -42,6 +44,8 @@ def keys_at_ranks(
                 continue
             bucket, offset, size = _bucket_of_rank(first, rank)
             bracket = df.where(levels[0].eqNullSafe(F.lit(bucket)))
+            if prune is not None:
+                bracket = bracket.where(prune(bucket))
             for level in levels[1:]:
                 if size <= small:
                     break

@@ -15,20 +15,23 @@ QUARTERS = [0.25, 0.5, 0.75]
 def finite(value: Column) -> Column:
     """The value as a double, NULL where it is NaN or infinite."""
     v = value.cast("double")
-    return F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v)
+    return F.when(F.abs(v) < F.lit(float("inf")), v)  # NaN sorts above infinity
 
 
-def fit_scaler_params(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+def fit_scaler_params(
+    df: DataFrame, columns: Sequence[str], rows: int | None = None
+) -> dict[str, tuple[float, float]]:
     """{column: (centre, scale)}, the quartiles taken after missing values became the median.
 
-    Columns without missing values (checked while fitting) need one search; the others a
-    second one over the filled column. Only two numbers per column reach the driver.
+    The search also tells how many values each column holds. Only columns that hold fewer than
+    there are rows (counted here unless given) need a second search, over the filled column.
+    Three numbers per column reach the driver.
     """
+    rows = df.count() if rows is None else rows
     values = df.select(*[finite(F.col(c)).alias(c) for c in columns])
-    gaps = values.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    first = exact_quantiles(values, {c: QUARTERS for c in columns}).first()
+    first = exact_quantiles(values, {c: QUARTERS for c in columns}, counts_as="_found").first()
     quarters = {c: first[c] for c in columns}
-    refit = [c for c in columns if gaps[c] and quarters[c][1] is not None]
+    refit = [c for c, n in zip(columns, first["_found"]) if 0 < n < rows]
     if refit:
         filled = values.select(*[F.coalesce(F.col(c), F.lit(quarters[c][1])).alias(c) for c in refit])
         again = exact_quantiles(filled, {c: QUARTERS for c in refit}).first()

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from queuelens.operators.ranks import keys_at_ranks
 
+HOUR_US = 3_600_000_000
+NEVER = 2**62  # stands in for a missing submit time
+
 
 def nested_cuts(test_size: float = 0.2, val_size: float = 0.1) -> Callable[[int], tuple[int, int]]:
     """Cut ranks where validation is a share of what is left after the test share."""
@@ -32,16 +35,23 @@ def temporal_split(df: DataFrame, cuts: Callable[[int], tuple[int, int]] | None
     constants, so it neither sorts nor shuffles. Rows without a submit time come last.
     """
     cuts = cuts or nested_cuts()
-    micros = F.coalesce(F.unix_micros("submit_time"), F.lit(2**62))
+    micros = F.coalesce(F.unix_micros("submit_time"), F.lit(NEVER))
+
+    def in_hour(hour: int) -> Column:
+        if hour > NEVER // HOUR_US - 2:
+            return F.col("submit_time").isNull()
+        start = F.timestamp_micros(F.lit(hour * HOUR_US))
+        return (F.col("submit_time") >= start) & (F.col("submit_time") < start + F.expr("INTERVAL 1 HOUR"))
+
     levels = [
-        F.floor(micros / F.lit(3_600_000_000)),
+        F.floor(micros / F.lit(HOUR_US)),
         F.floor(micros / F.lit(1_000_000)),
         micros,
         F.shiftright("job_id", 40),
         F.shiftright("job_id", 20),
         F.col("job_id"),
     ]
-    total, keys = keys_at_ranks(df, levels, [micros, F.col("job_id")], cuts)
+    total, keys = keys_at_ranks(df, levels, [micros, F.col("job_id")], cuts, prune=in_hour)
 
     def before(key: tuple | None) -> Column:
         if key is None:

@@ -143,7 +143,7 @@ def fit(df: DataFrame, advanced: bool = True, with_stats: bool = False) -> Featu
     the shared folder as soon as they are computed.
     """
     thresholds = fit_thresholds(df).first().asDict()
-    users = queues = None
+    users = queues = rows = None
     if advanced and "user" in df.columns:
         asked = F.coalesce(F.col("wallclock_req"), F.lit(thresholds["wallclock_median"]))
         ratio = asked / res.at_least_one(F.col("run_time"))
@@ -155,8 +155,8 @@ def fit(df: DataFrame, advanced: bool = True, with_stats: bool = False) -> Featu
             F.count(F.lit(1)).alias("rows"),
         )
         stored = materialize(per_user, "users")
-        totals = stored.agg((F.sum("runtime_sum") / F.sum("job_count")).alias("m")).first()
-        thresholds["train_mean_runtime"] = totals["m"]
+        totals = stored.agg(F.try_divide(F.sum("runtime_sum"), F.sum("job_count")).alias("m"), F.sum("rows").alias("n")).first()
+        thresholds["train_mean_runtime"], rows = totals["m"], totals["n"]
         thresholds |= user_count_quantile(stored).first().asDict()
         users = stored.where(F.col("user").isNotNull()).select("user", "runtime_mean", "job_count", "accuracy", "rows")
     if advanced and "partition" in df.columns and "submit_time" in df.columns:
@@ -168,7 +168,7 @@ def fit(df: DataFrame, advanced: bool = True, with_stats: bool = False) -> Featu
     codes = materialize(aggregates.label_encode(df, [c for c in ENCODED if c in df.columns]), "codes")
     state = FeatureState(thresholds, {}, users, queues, codes, advanced)
     raw = _unscaled(df, state)
-    state = replace(state, scaler=fit_scaler_params(raw, [c for c in SCALED_COLUMNS if c in raw.columns]))
+    state = replace(state, scaler=fit_scaler_params(raw, [c for c in SCALED_COLUMNS if c in raw.columns], rows))
     if with_stats:
         done = transform(df, state)
         numeric = [c for c in state.features if c in done.columns]

@@ -71,7 +71,16 @@ def jobs(spark: SparkSession, sf: str) -> DataFrame:
 
     Queries read it as they would read a real log: with pushed filters and pruned columns.
     """
-    return _once(spark, sf, "jobs", lambda: materialize(views.jobs(spark, sf), "jobs"))
+
+    def store() -> DataFrame:
+        source = views.events(spark, sf)
+        log, cores = views.jobs_from_events(source), spark.sparkContext.defaultParallelism
+        if source.rdd.getNumPartitions() < cores:
+            # A file with fewer splits than there are cores would leave the others idle.
+            log = log.repartitionByRange(cores, "submit_time")
+        return materialize(log, "jobs")
+
+    return _once(spark, sf, "jobs", store)
 
 
 def clean(spark: SparkSession, sf: str) -> DataFrame:

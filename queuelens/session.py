@@ -7,7 +7,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The feature recipe compiles to methods over 8,000 bytecodes, which the JVM otherwise leaves to
+# its interpreter (about half the speed on wide feature frames).
+JVM_OPTIONS = "-XX:-DontCompileHugeMethods"
+
 SESSION_CONF = {
+    "spark.driver.extraJavaOptions": JVM_OPTIONS,
+    "spark.executor.extraJavaOptions": JVM_OPTIONS,
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
