@@ -149,7 +149,7 @@ def ensemble_predict(frame: DataFrame, models: dict[str, PipelineModel], weights
     """Adds `prediction`: the weighted sum of the members in log space."""
     wide = member_predictions(frame, models)
     total = F.lit(0.0)
-    for name in models:
+    for name in sorted(models):  # one order of summing, so that reloaded models agree to the last bit
         total = total + F.col(f"pred_{name}") * F.lit(weights[name])
     return wide.withColumn("prediction", total)
 
