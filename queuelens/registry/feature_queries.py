@@ -138,8 +138,8 @@ _report_value(
 )
 _report_value(
     "walltime_advice",
-    "CASE WHEN round(predicted_runtime / wallclock_req * 100, 3) < 50 THEN 'reduce' WHEN round(predicted_runtime / wallclock_req * 100, 3) > 90 THEN 'add buffer' END",
-    ("advice", lambda: R.walltime_advice(F.round("predicted_runtime", 3), F.col("wallclock_req"))),
+    "CASE WHEN predicted_runtime / wallclock_req * 100 < 50 THEN 'reduce' WHEN predicted_runtime / wallclock_req * 100 > 90 THEN 'add buffer' END",
+    ("advice", lambda: R.walltime_advice(F.col("predicted_runtime"), F.col("wallclock_req"))),
 )
 _report_value(
     "overestimation_alert", "coalesce(wallclock_req / predicted_runtime > 1.5, FALSE)",
