@@ -28,44 +28,38 @@ def rolling_totals(
 ) -> DataFrame:
     """(id, key, `<measure>_<window>`...): sums of bigint measures over [t - window, t)."""
     names = list(measures)
-    base = df.select(
-        F.col(id_column).alias("_id"), F.col(by).alias("_by"), time_us.alias("_t"),
-        *[m.cast("bigint").alias(n) for n, m in measures.items()],
-    )
     offsets = {"now": 0, **windows}
-    # kind 0 asks for the total before _t, kind 1 adds to it; at equal times the question is first.
-    asks = F.array(*[F.struct(F.lit(w).alias("w"), (F.col("_t") - d).alias("t")) for w, d in offsets.items()])
-    zero = [F.lit(0).cast("bigint").alias(n) for n in names]
-    questions = base.select("_id", "_by", F.explode(asks).alias("q"), *zero).select(
-        "_id", "_by", F.col("q.w").alias("_w"), F.col("q.t").alias("_at"), F.lit(0).alias("_kind"), *names
-    )
-    facts = base.groupBy("_by", "_t").agg(*[F.sum(n).alias(n) for n in names]).select(
-        F.lit(None).cast("bigint").alias("_id"), "_by", F.lit(None).cast("string").alias("_w"),
-        F.col("_t").alias("_at"), F.lit(1).alias("_kind"), *names,
+    # A job asks for the total before its own time and before each window's start. Its question
+    # at its own time also carries what it adds; the others add nothing.
+    asks = F.array(*[F.struct(F.lit(i).alias("w"), F.lit(d).cast("bigint").alias("d")) for i, d in enumerate(offsets.values())])
+    added = [F.when(F.col("q.w") == 0, F.col(n)).otherwise(F.lit(0).cast("bigint")).alias(n) for n in names]
+    moments = (
+        df.select(
+            F.col(id_column).alias("_id"), F.col(by).alias("_by"), time_us.alias("_t"),
+            *[m.cast("bigint").alias(n) for n, m in measures.items()], F.explode(asks).alias("q"),
+        )
+        .select("_id", "_by", F.col("q.w").alias("_w"), (F.col("_t") - F.col("q.d")).alias("_at"), *added)
+        .withColumn("_chunk", F.floor(F.col("_at") / F.lit(chunk_us)))
     )
-    moments = questions.unionByName(facts).withColumn("_chunk", F.floor(F.col("_at") / F.lit(chunk_us)))
 
-    # Chunk totals need the (key, chunk) pairs of the questions too, at zero.
+    # Totals carried into each (key, chunk) that holds a question.
     per_chunk = moments.groupBy("_by", "_chunk").agg(*[F.sum(n).alias(n) for n in names])
     earlier = Window.partitionBy("_by").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_chunk.select(
-        F.col("_by").alias("_kb"), F.col("_chunk").alias("_kc"),
-        *[F.coalesce(F.sum(n).over(earlier), F.lit(0).cast("bigint")).alias(f"_c_{n}") for n in names],
-    )
-    inside = (
-        Window.partitionBy("_by", "_chunk").orderBy("_at", "_kind")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    running = moments.select("_id", "_by", "_w", "_chunk", "_kind", *[F.sum(n).over(inside).alias(n) for n in names])
-    answers = running.where(F.col("_kind") == 0).join(
-        carried, F.col("_by").eqNullSafe(F.col("_kb")) & (F.col("_chunk") == F.col("_kc"))
+        F.col("_by").alias("_kb"), F.col("_chunk").alias("_kc"), *[F.sum(n).over(earlier).alias(f"_c_{n}") for n in names]
     )
+    inside = Window.partitionBy("_by", "_chunk").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    running = moments.select("_id", "_by", "_w", "_chunk", *[F.sum(n).over(inside).alias(n) for n in names])
+    answers = running.join(carried, F.col("_by").eqNullSafe(F.col("_kb")) & (F.col("_chunk") == F.col("_kc")))
+
+    zero = F.lit(0).cast("bigint")
 
-    def total(name: str, window: str) -> Column:
-        return F.sum(F.when(F.col("_w") == window, F.col(name) + F.col(f"_c_{name}")))
+    def total(name: str, window: int) -> Column:
+        before = F.coalesce(F.col(name), zero) + F.coalesce(F.col(f"_c_{name}"), zero)
+        return F.sum(F.when(F.col("_w") == window, before))
 
     differences = [
-        (total(n, "now") - total(n, w)).alias(f"{n}_{w}") for w in windows for n in names
+        (total(n, 0) - total(n, i)).alias(f"{n}_{w}") for i, w in enumerate(offsets) if w != "now" for n in names
     ]
     return answers.groupBy(F.col("_id").alias(id_column), F.col("_by").alias(by)).agg(*differences)
 

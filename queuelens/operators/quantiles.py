@@ -2,8 +2,9 @@
 
 The built-in `percentile` keeps every distinct value of a group in one task's map. Here each
 value is first counted in a bucket that preserves order; the running count over the buckets
-tells which bucket holds each wanted rank; only the values of those buckets are then ordered.
-Both counting steps combine map-side, so a hot group or a hot value costs one counter.
+tells which bucket holds each wanted rank. The distinct values of those few buckets are counted
+in finer buckets in the same way, and only the values of the finer buckets are ordered. Counting
+combines map-side, so a hot group or a hot value costs one counter.
 """
 
 from __future__ import annotations
@@ -13,10 +14,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Buckets are log-spaced: a value and its bucket edge differ by less than 1 part in 65,536, and
-# all finite doubles fall into a bounded number of buckets.
-BUCKETS_PER_E = 65536.0
+# Coarse buckets are log-spaced: all finite doubles fall into a bounded number of them, few enough
+# for map-side counting to shrink a task's rows by orders of magnitude. Fine buckets divide what
+# a coarse bucket really spans evenly.
+BUCKETS_PER_E = 4096.0
 SMALLEST_UNIT = 1e6
+FINE_BUCKETS = 4096.0
+
+
+def _fine_bucket(v: Column, low: Column, high: Column) -> Column:
+    return F.when(high > low, F.floor((v - low) / (high - low) * FINE_BUCKETS)).otherwise(F.lit(0))
 
 
 def _bucket(v: Column) -> Column:
@@ -56,16 +63,6 @@ def exact_quantiles(
         values = values.groupBy(*by, "f", "v").agg(F.sum("n").alias("n"))
     values = values.withColumn("b", _bucket(F.col("v")))
 
-    group = [*by, "f"]
-    histogram = values.groupBy(*group, "b").agg(F.sum("n").alias("n"))
-    running = Window.partitionBy(*group).orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = histogram.select(
-        *group, "b",
-        (F.sum("n").over(running) - F.col("n")).alias("before"),
-        F.sum("n").over(running).alias("after"),
-        F.sum("n").over(Window.partitionBy(*group)).alias("total"),
-    )
-
     # The probabilities wanted from the row's column.
     wanted = F.array(*[F.array(*[F.lit(float(p)) for p in columns[c]]) for c in names])
     probabilities = F.get(wanted, F.col("f"))
@@ -77,20 +74,46 @@ def exact_quantiles(
         return (at >= F.col("before")) & (at < F.col("after"))
 
     any_rank = F.exists(probabilities, lambda p: holds(F.floor(rank(p))) | holds(F.ceil(rank(p))))
-    targets = placed.where(any_rank).select(*group, "b", "before", "total")
-    # Without groups the target table has at most two rows per probability, whatever the input.
-    side = F.broadcast(targets) if not by else targets
-    keys = [*group, "b"]
-    renamed = side.select(*[F.col(k).alias(f"_{k}") for k in keys], "before", "total")
-    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+
+    def running(keys: Sequence[str], order: str) -> Column:
+        frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return F.sum("n").over(frame)
+
+    def keep_matching(rows: DataFrame, targets: DataFrame, keys: Sequence[str], *carried: str) -> DataFrame:
+        # Without groups there are at most two targets per probability, whatever the input.
+        side = targets if by else F.broadcast(targets)
+        side = side.select(*[F.col(k).alias(f"_{k}") for k in keys], *carried)
+        match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        return rows.join(side, match).drop(*[f"_{k}" for k in keys])
+
+    # Coarse buckets of the rows.
+    group, coarse = [*by, "f"], [*by, "f", "b"]
+    histogram = values.groupBy(*coarse).agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    placed = histogram.select(
+        *coarse, "low", "high", "n",
+        running(group, "b").alias("after"),
+        F.sum("n").over(Window.partitionBy(*group)).alias("total"),
+    ).withColumn("before", F.col("after") - F.col("n"))
     inside = (
-        values.join(renamed, match)
-        .groupBy(*keys, "v")
-        .agg(F.sum("n").alias("n"), F.min("before").alias("base"), F.min("total").alias("total"))
+        keep_matching(values, placed.where(any_rank), coarse, "before", "total", "low", "high")
+        .groupBy(*coarse, "v")
+        .agg(
+            F.sum("n").alias("n"), F.min("before").alias("base"), F.min("total").alias("total"),
+            F.min("low").alias("low"), F.min("high").alias("high"),
+        )
+        .withColumn("s", _fine_bucket(F.col("v"), F.col("low"), F.col("high")))
+    )
+
+    # Fine buckets of the distinct values in the coarse buckets found.
+    fine = [*coarse, "s"]
+    finer = inside.groupBy(*fine).agg(F.sum("n").alias("n"), F.min("base").alias("base"), F.min("total").alias("total"))
+    placed = finer.select(*fine, "total", "n", (F.col("base") + running(coarse, "s")).alias("after")).withColumn(
+        "before", F.col("after") - F.col("n")
     )
-    within = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = inside.select(*group, "v", "total", "n", (F.col("base") + F.sum("n").over(within)).alias("after"))
-    ranked = ranked.withColumn("before", F.col("after") - F.col("n"))
+    targets = placed.where(any_rank).withColumnRenamed("before", "start")
+    ranked = keep_matching(inside, targets, fine, "start").select(
+        *group, "v", "total", "n", (F.col("start") + running(fine, "v")).alias("after")
+    ).withColumn("before", F.col("after") - F.col("n"))
 
     depth = max(len(ps) for ps in columns.values())
     aggs = []
