@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from queuelens.functions.resources import at_least_one
-from queuelens.operators.quantiles import approx_quantiles, exact_quantiles
+from queuelens.operators.quantiles import approx_quantiles, exact_quantiles, grouped_quantiles
 from queuelens.operators.scalars import only_row, unpivot_row
 
 
 def _quantiles(df: DataFrame, columns: dict, by: Sequence[str] = (), mode: str = "exact") -> DataFrame:
     """`mode='approx'` trades exactness (rank error 1e-4) for a single pass."""
-    return approx_quantiles(df, columns, by) if mode == "approx" else exact_quantiles(df, columns, by)
+    if mode == "approx":
+        return approx_quantiles(df, columns, by)
+    return grouped_quantiles(df, columns, by) if by else exact_quantiles(df, columns)
 
 
 def overrequest_ratio() -> Column:
@@ -177,7 +179,7 @@ def runtime_histogram(df: DataFrame, column: str = "predicted_runtime", bins: in
 
 def efficiency_box(results: DataFrame, by: str = "partition", value: str = "efficiency") -> DataFrame:
     """Per group: smallest, quartiles, largest."""
-    found = exact_quantiles(results, {value: [0.0, 0.25, 0.5, 0.75, 1.0]}, [by])
+    found = grouped_quantiles(results, {value: [0.0, 0.25, 0.5, 0.75, 1.0]}, [by])
     names = ["lowest", "q1", "median", "q3", "highest"]
     return found.select(by, *[F.col(value)[i].alias(n) for i, n in enumerate(names)])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from queuelens.operators.quantiles import exact_quantiles
+from queuelens.operators.quantiles import grouped_quantiles
 
 
 def _in_seconds(scored: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def regression_metrics(scored: DataFrame) -> DataFrame:
 
 def error_percentiles(scored: DataFrame, split: str = "test") -> DataFrame:
     errors = _in_seconds(scored.where(F.col("split") == split)).select("model", F.abs("e").alias("error"))
-    found = exact_quantiles(errors, {"error": [0.5, 0.9, 0.95]}, ["model"])
+    found = grouped_quantiles(errors, {"error": [0.5, 0.9, 0.95]}, ["model"])
     return found.select("model", *[F.col("error")[i].alias(n) for i, n in enumerate(["p50_error", "p90_error", "p95_error"])])
 
 

@@ -14,12 +14,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from queuelens.session import materialize
+
 # Coarse buckets are log-spaced: all finite doubles fall into a bounded number of them, few enough
 # for map-side counting to shrink a task's rows by orders of magnitude. Fine buckets divide what
 # a coarse bucket really spans evenly.
 BUCKETS_PER_E = 4096.0
 SMALLEST_UNIT = 1e6
 FINE_BUCKETS = 4096.0
+# Rows of a group up to which one task may hold all its values (some tens of MB).
+GROUP_LIMIT = 1_000_000
 
 
 def _fine_bucket(v: Column, low: Column, high: Column) -> Column:
@@ -138,6 +142,35 @@ def exact_quantiles(
     return wide.select(*by, *arrays)
 
 
+def _built_in(df: DataFrame, columns: dict[str, Sequence[float]], by: Sequence[str]) -> DataFrame:
+    aggs = []
+    for c, ps in columns.items():
+        v = F.col(f"`{c}`").cast("double")
+        aggs.append(F.percentile(F.when(F.abs(v) < F.lit(float("inf")), v), [float(p) for p in ps]).alias(c))
+    none = {c: F.coalesce(F.col(c), F.array(*[F.lit(None).cast("double") for _ in ps])) for c, ps in columns.items()}
+    return df.groupBy(*by).agg(*aggs).withColumns(none)
+
+
+def grouped_quantiles(
+    df: DataFrame, columns: dict[str, Sequence[float]], by: Sequence[str], group_limit: int = GROUP_LIMIT
+) -> DataFrame:
+    """The result of `exact_quantiles` per group, with the built-in aggregate where it is safe.
+
+    Groups are counted first (when this is called). A group of at most `group_limit` rows fits a
+    task's map, so the built-in `percentile` serves it in one shuffle; larger groups, of which there
+    can only be rows / limit, take the bucket search. Every group gets its exact result.
+    """
+    by = list(by)
+    counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = materialize(counted.where(F.col("_rows") > group_limit).select(*by), "hot-groups")
+    if hot.isEmpty():
+        return _built_in(df, columns, by)
+    same = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}")) for k in by])
+    small = df.alias("l").join(hot.alias("h"), same, "left_anti")
+    large = df.alias("l").join(hot.alias("h"), same, "left_semi")
+    return _built_in(small, columns, by).unionByName(exact_quantiles(large, columns, by))
+
+
 def approx_quantiles(
     df: DataFrame, columns: dict[str, Sequence[float]], by: Sequence[str] = (), accuracy: int = 10000
 ) -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from queuelens.operators.quantiles import approx_quantiles, exact_quantiles
+from queuelens.operators.quantiles import approx_quantiles, exact_quantiles, grouped_quantiles
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.995, 1.0]
 
@@ -68,3 +68,18 @@ def test_no_group_is_broadcast_and_counts_share_an_exchange(spark):
 def test_approx_has_the_same_shape(spark):
     df = spark.range(1, 1001).select(F.col("id").alias("v"))
     assert approx_quantiles(df, {"v": [0.5, 0.9]}).first()["v"] == pytest.approx([500, 900], abs=2)
+
+
+@pytest.mark.parametrize("limit", [0, 60, 10**6])
+def test_grouped_paths_agree(spark, limit):
+    rng = np.random.default_rng(5)
+    group = ["hot"] * 500 + [None] * 80 + [f"g{i % 20}" for i in range(100)] + ["empty", "gap", "gap"]
+    values = list(rng.lognormal(0, 2, 680)) + [None, float("nan"), 4.0]
+    df = _frame(spark, values, group)
+    got = {r["g"]: r["v"] for r in grouped_quantiles(df, {"v": PROBS}, ["g"], limit).collect()}
+    assert set(got) - {"empty"} == set(group) - {"empty"}
+    for key in ("hot", None, "g3"):
+        expected = np.quantile([v for v, g in zip(values, group) if g == key], PROBS)
+        assert got[key] == pytest.approx(expected, rel=1e-12)
+    assert got["gap"] == [4.0] * len(PROBS)
+    assert got.get("empty", [None] * len(PROBS)) == [None] * len(PROBS)
