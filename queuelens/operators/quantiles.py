@@ -53,12 +53,11 @@ def exact_quantiles(
     """
     names = list(columns)
     by = list(by)
-    packed = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(names)])
+    packed = F.array(*[F.col(f"`{c}`").cast("double") for c in names])
     count = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     finite = F.abs("v") < F.lit(float("inf"))  # not NULL, and NaN sorts above infinity
     values = (
-        df.select(*by, count.alias("n"), F.explode(packed).alias("x"))
-        .select(*by, "n", F.col("x.f").alias("f"), F.col("x.v").alias("v"))
+        df.select(*by, count.alias("n"), F.posexplode(packed).alias("f", "v"))
         .where(finite)
         .withColumn("v", F.col("v") + F.lit(0.0))  # -0.0 and 0.0 are one value
     )
