@@ -6,7 +6,11 @@ from pyspark.sql import functions as F
 
 from queuelens import views
 from queuelens.operators import aggregates, filters, reports, splits
-from queuelens.registry.catalog import clean, jobs, out, query, rounded, service_requests, split_table, trained
+from queuelens.operators.nested import flatten_request, nest_request
+from queuelens.plans import scoring
+from queuelens.registry.catalog import (
+    clean, jobs, out, query, rounded, sample_results, service_requests, split_table, state, trained,
+)
 from queuelens.schema import JOB_SCHEMA, REQUEST_SCHEMA
 from queuelens.session import scratch_path
 from queuelens.sources import models as model_store, readers, state as state_store, writers
@@ -83,8 +87,6 @@ def sink_parquet(spark, sf):
     "SELECT request_id, prediction_status, round(predicted_runtime, 6) AS predicted_runtime, runtime_category, error FROM sample_results",
 )
 def sink_results_csv(spark, sf):
-    from queuelens.registry.catalog import sample_results
-
     names = ["request_id", "prediction_status", "predicted_runtime", "runtime_category", "error"]
     path = writers.sink_results_csv(sample_results(spark, sf).select(*names), scratch_path(spark, "results"))
     schema = "request_id bigint, prediction_status string, predicted_runtime double, runtime_category string, error string"
@@ -99,8 +101,6 @@ def sink_results_csv(spark, sf):
        UNION ALL SELECT 'scaler', count(*), round(sum(center), 6) FROM scaler_params""",
 )
 def save_load_features(spark, sf):
-    from queuelens.registry.catalog import state
-
     path = state_store.save_features(spark, state(spark, sf), scratch_path(spark, "feature-state"))
     loaded = state_store.load_features(spark, path)
     parts = {
@@ -118,11 +118,8 @@ def save_load_features(spark, sf):
 
 @query("save_load_models")
 def save_load_models(spark, sf):
-    from queuelens.plans import scoring
-    from queuelens.registry.catalog import service_requests as incoming
-
     path = model_store.save_models(spark, trained(spark, sf), scratch_path(spark, "model"))
-    scored = scoring.score_batch(incoming(spark, sf), model_store.load_models(spark, path))
+    scored = scoring.score_batch(service_requests(spark, sf), model_store.load_models(spark, path))
     return scored.select("request_id", "predicted_runtime", "model_version", "features_used")
 
 
@@ -439,8 +436,6 @@ def collect_errors(spark, sf):
          date_trunc('second', submit_time) AS submit_time, "user", 'batch' AS source FROM service_requests""",
 )
 def request_nested(spark, sf):
-    from queuelens.operators.nested import flatten_request, nest_request
-
     flat = flatten_request(nest_request(service_requests(spark, sf)))
     return out(flat, flat.columns)
 

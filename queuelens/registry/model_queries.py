@@ -6,7 +6,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from queuelens.operators import evaluation
-from queuelens.operators.filters import skip_invalid
 from queuelens.plans import features, scoring, training
 from queuelens.registry.catalog import SMALL_TRAINING, query, service_requests, split_table, state, trained
 from queuelens.sources import models as model_store

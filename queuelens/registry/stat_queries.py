@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from queuelens.functions import reports as R
 from queuelens.operators import aggregates, evaluation, history, joins, nested
+from queuelens.operators.filters import skip_invalid
 from queuelens.plans import features
 from queuelens.registry.catalog import (
-    clean, jobs, out, query, requests, rounded, sample_predictions, sample_results, service_requests, split_table,
+    clean, jobs, query, requests, rounded, sample_predictions, sample_results, service_requests, split_table,
     state, train_rows,
 )
 
@@ -227,8 +228,6 @@ def metrics_long(spark, sf):
 )
 def importance_long(spark, sf):
     """Shares of each queue per split stand in for importances: {split: [{queue, share}]}."""
-    from pyspark.sql import Window
-
     counted = split_table(spark, sf).groupBy(F.col("split").alias("model"), F.col("partition").alias("feature")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -259,8 +258,6 @@ def weights_map(spark, sf):
              GROUP BY processors_req, nodes_req, mem_req, wallclock_req, "partition", qos)""",
 )
 def reuse_ratio(spark, sf):
-    from queuelens.operators.filters import skip_invalid
-
     return rounded(joins.reuse_ratio(skip_invalid(service_requests(spark, sf))), "hit_ratio")
 
 
