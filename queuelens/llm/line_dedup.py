@@ -6,8 +6,8 @@ then its place in the document) is alike, whether that one is dropped itself or
 depends on no order of work.
 
 Equal lines collapse by a 128-bit hash. Of the distinct lines only those are looked at further that
-agree with another one in a half: a single edit leaves the half before it or the half behind it
-unchanged, so nothing is lost. They emit all their deletion variants as hashed keys with the place
+agree with another one in a half, and of these those that agree in all but an eighth: a single edit
+leaves what stands before its part and behind it unchanged, so nothing is lost. They emit all their deletion variants as hashed keys with the place
 of the deletion. Lines with the same variant and place differ in one replacement; a line equal to
 another one's variant differs in one insertion. The earliest line of each key is an aggregate, so
 a key shared by many lines makes no pairs. Each line's earliest partner is verified by edit
@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 from queuelens.session import materialize
 
 MIN_NEAR = 20
+#: Keys of two bigints that a broadcast may hold: about 50 MB.
+BROADCAST_ROWS = 1_000_000
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
 
 
@@ -36,17 +38,35 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return row.select(place.alias("place"), "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("line"), "line").alias("k2"))
 
 
-def half_keys(line):
-    """Keys of which two lines within one edit share at least one."""
+def part_keys(line, parts: int):
+    """Keys of which two lines within one edit share at least one: all of a line but one of its parts.
+
+    In the places of the shorter line the edit lies in one part; what stands before that part and what
+    stands behind it is the same in both lines.
+    """
     keys = []
     for shorter in (0, 1):  # the line as the shorter of a pair, or of the same length; as the longer one
         size = F.length(line) - shorter
-        half = F.floor(size / 2).cast("int")
-        keys.append(F.xxhash64(F.lit("front"), size, F.substr(line, F.lit(1), half)))
-        keys.append(F.xxhash64(F.lit("back"), size, F.substr(line, F.length(line) - (size - half) + 1, size - half)))
+        edge = lambda q: F.floor(size * q / parts).cast("int")
+        for q in range(parts):
+            behind = size - edge(q + 1)
+            ends = [F.substr(line, F.lit(1), edge(q))] * (q > 0) + [F.substr(line, F.length(line) - behind + 1, behind)] * (q < parts - 1)
+            keys.append(F.xxhash64(F.lit(q), size, *ends))
     return F.array(*keys)
 
 
+def sharing_a_key(lines: DataFrame, label: str) -> DataFrame:
+    """(k1, k2) of the distinct `lines` (k1, k2, keys) that share one of `keys` with another one."""
+    exploded = lines.select("k1", "k2", F.explode("keys").alias("key"))
+    shared = materialize(exploded.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key"), f"{label}-keys")
+    return materialize(exploded.join(shared, "key", "left_semi").select("k1", "k2").distinct(), label)
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """Marks a stored table for broadcasting while it has at most BROADCAST_ROWS rows; a larger one is shuffled."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def deletion_keys(lines: list[str]):
     """Hashes (two 62-bit numbers) of each line without its i-th character, and of the whole line."""
     import numpy as np
@@ -78,7 +98,7 @@ def deletion_keys(lines: list[str]):
 
 
 def with_variants(batches):
-    """(place, v1, v2, spot): a row for each deletion of a line, and one with spot -1 for the line itself."""
+    """(id, v1, v2, spot): a row for each deletion of a line, and one with spot -1 for the line itself."""
     import numpy as np
     import pyarrow as pa
 
@@ -91,35 +111,39 @@ def with_variants(batches):
             spots = np.concatenate([np.append(np.arange(len(a) - 1), -1) for a, _ in keys]) if keys else []
             v1, v2 = (np.concatenate([k[i] for k in keys]) for i in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [part.column("place").take(pa.array(owner)), pa.array(v1), pa.array(v2), pa.array(spots, pa.int32())], ["place", "v1", "v2", "spot"]
+                [part.column("id").take(pa.array(owner)), pa.array(v1), pa.array(v2), pa.array(spots, pa.int32())], ["id", "v1", "v2", "spot"]
             )
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame, min_near: int) -> DataFrame:
     """(k1, k2): the distinct lines that have an earlier one within one edit."""
-    halves = distinct.where(F.col("size") >= min_near).select("k1", "k2", F.explode("halves").alias("half"))
-    shared = materialize(halves.groupBy("half").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("half"), "line-halves")
-    chosen = materialize(halves.join(shared, "half", "left_semi").select("k1", "k2").distinct(), "line-chosen")
-    texts = line_rows(docs).join(chosen, ["k1", "k2"], "left_semi").select("k1", "k2", "line").distinct()
-    texts = materialize(texts.join(distinct.select("k1", "k2", "first"), ["k1", "k2"]).select("k1", "k2", "line", F.col("first").alias("place")), "line-texts")
-    kind = texts.schema["place"].dataType.simpleString()
-    # A row's own lines and variants, each with the line's place, which names it.
-    parts = texts.select("place", "line").repartition("place").mapInArrow(with_variants, f"place {kind}, v1 bigint, v2 bigint, spot int")
+    long = distinct.where(F.col("size") >= min_near)
+    chosen = sharing_a_key(long.select("k1", "k2", F.col("halves").alias("keys")), "line-halves")
+    texts = line_rows(docs).join(few(chosen), ["k1", "k2"], "left_semi").select("k1", "k2", "line").distinct()
+    texts = materialize(texts, "line-texts")
+    # The few texts left allow for finer keys, which leave little but lines within one edit.
+    chosen = sharing_a_key(texts.select("k1", "k2", part_keys(F.col("line"), 8).alias("keys")), "line-eighths")
+    texts = texts.join(chosen, ["k1", "k2"], "left_semi").join(distinct.select("k1", "k2", "first"), ["k1", "k2"])
+    # Numbers in the order of the lines, without gathering them.
+    parallel = docs.sparkSession.sparkContext.defaultParallelism
+    ordered = texts.repartitionByRange(parallel, "first").sortWithinPartitions("first")
+    texts = materialize(ordered.select("k1", "k2", "line", F.monotonically_increasing_id().alias("id")), "line-numbers")
+    parts = texts.select("id", "line").repartition("id").mapInArrow(with_variants, "id bigint, v1 bigint, v2 bigint, spot int")
     own = F.col("spot") < 0
     by_key = parts.groupBy("v1", "v2").agg(
-        F.min("place").alias("low"), F.max("place").alias("high"),
-        F.min(F.when(own, F.col("place"))).alias("whole"), F.min(F.when(~own, F.col("place"))).alias("cut"),
+        F.min("id").alias("low"), F.max("id").alias("high"),
+        F.min(F.when(own, F.col("id"))).alias("whole"), F.min(F.when(~own, F.col("id"))).alias("cut"),
     )
     by_key = materialize(by_key.where(F.col("low") != F.col("high")).select("v1", "v2", "whole", "cut"), "line-keys")
     met = materialize(parts.join(by_key, ["v1", "v2"]), "line-met")
-    by_spot = met.where(~own).groupBy("v1", "v2", "spot").agg(F.min("place").alias("swap"))
+    by_spot = met.where(~own).groupBy("v1", "v2", "spot").agg(F.min("id").alias("swap"))
     by_spot = materialize(by_spot, "line-spots").withColumnsRenamed({"v1": "w1", "v2": "w2", "spot": "at"})
     same = [met["v1"] == by_spot["w1"], met["v2"] == by_spot["w2"], met["spot"] == by_spot["at"]]
     partner = F.when(own, F.col("cut")).otherwise(F.least("whole", "swap"))
-    found = met.join(by_spot, same, "left").select("place", partner.alias("partner")).where(F.col("partner") < F.col("place"))
-    found = found.groupBy("place").agg(F.min("partner").alias("partner"))
-    right = texts.select(F.col("place").alias("partner"), F.col("line").alias("other"))
-    pairs = found.join(texts, "place").join(right, "partner")
+    found = met.join(by_spot, same, "left").select("id", partner.alias("partner")).where(F.col("partner") < F.col("id"))
+    found = found.groupBy("id").agg(F.min("partner").alias("partner"))
+    right = texts.select(F.col("id").alias("partner"), F.col("line").alias("other"))
+    pairs = found.join(texts, "id").join(right, "partner")
     return pairs.where(F.levenshtein("line", "other", 1).between(0, 1)).select("k1", "k2")
 
 
@@ -129,7 +153,8 @@ def dedup_lines(docs: DataFrame, bound: int = 1, min_near: int = MIN_NEAR) -> Da
         raise ValueError("variants are emitted for at most one edit")
     lines = line_rows(docs)
     # Everything but the line itself is fixed-size, so no text is shuffled here.
-    sized = lines.select("place", "k1", "k2", F.length("line").alias("size"), half_keys(F.col("line")).alias("halves"))
+    sized = lines.select("place", "k1", "k2", F.length("line").alias("size"), part_keys(F.col("line"), 2).alias("halves"))
+    sized = materialize(sized, "line-rows")
     distinct = sized.groupBy("k1", "k2", "size", "halves").agg(F.min("place").alias("first"))
     distinct = materialize(distinct, "line-distinct")
     known = distinct.select("k1", "k2", "first").withColumn("near", F.lit(False))
@@ -137,7 +162,7 @@ def dedup_lines(docs: DataFrame, bound: int = 1, min_near: int = MIN_NEAR) -> Da
         near = near_lines(docs, distinct, min_near).select("k1", "k2", F.lit(True).alias("near"))
         known = distinct.select("k1", "k2", "first").join(near, ["k1", "k2"], "left")
     known = materialize(known, "line-known")
-    dropped = lines.select("place", "k1", "k2").join(known, ["k1", "k2"]).where(F.coalesce("near", F.lit(False)) | (F.col("place") != F.col("first")))
+    dropped = sized.select("place", "k1", "k2").join(known, ["k1", "k2"]).where(F.coalesce("near", F.lit(False)) | (F.col("place") != F.col("first")))
     dropped = dropped.select("place.doc_id", "place.text_hash", "place.number").distinct()
     dropped = materialize(
         dropped.groupBy("doc_id", "text_hash").agg(F.collect_list("number").alias("numbers"))
