@@ -5,7 +5,7 @@ slot, and a slot-to-shard map, stored with a version, deals the slots to shards
 bytes. Rebalancing edits the map: it moves the fewest slots that even the shards out, and adds
 shards if wanted; records never hash anew.
 
-A slot heavier than half a shard (a text with very many copies) is spread over several further
+A slot heavier than a shard's share (a text with very many copies) is spread over several further
 slots by its records' ids; no shard could hold it otherwise. The map has at most SLOTS rows and four
 further slots for each shard, so it is edited on the driver and used as constants of a query.
 
@@ -138,7 +138,7 @@ def plan_map(records: DataFrame, shards: int, slots: int = SLOTS) -> SlotMap:
     whole = sum(held.values()) / shards
     split, first = [], slots
     for slot, size in sorted(held.items()):
-        if size > whole / 2:
+        if size > whole:
             parts = -(-size * 4 // max(int(whole), 1))
             split.append((slot, first, parts))
             first += parts

@@ -12,7 +12,8 @@ after the other.
 
 Edge cases: a NULL URL or one without `://` has empty host and path, fits no rule and gets the
 default verdict; repeated URLs get equal rows; further columns are kept out of the result. A rule
-that is listed twice counts once; listed both as block and as allow, it blocks.
+that is listed twice counts once; listed both as block and as allow, it blocks. Of rules of equal length
+the one with the longer host wins.
 """
 
 from __future__ import annotations
@@ -125,6 +126,12 @@ def candidate_keys(host: Column, path: Column, most_labels: int, path_lengths: l
     return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
 
 
+def longer(a: Column, b: Column) -> Column:
+    """Whether rule string `a` goes before `b`."""
+    host = lambda rule: F.length(F.substring_index(rule, "/", 1))
+    return (F.length(a) > F.length(b)) | ((F.length(a) == F.length(b)) & (host(a) > host(b)))
+
+
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
     """A small rule list as a frame (host, path, action)."""
     if not rules:
@@ -169,7 +176,7 @@ def filter_urls(
         rule_of = build_cascade(universe.where(group(F.col("key")) == g), min_bits)
         block_of = build_cascade(actions.where(group(F.col("key")) == g), min_bits)
         fits = F.filter(keys, lambda k: (group(k) == g) & rule_of.contains(k))
-        longest = F.reduce(fits, F.col(best), lambda a, k: F.when(a.isNull() | (F.length(k) > F.length(a)), k).otherwise(a))
+        longest = F.reduce(fits, F.col(best), lambda a, k: F.when(a.isNull() | longer(k, a), k).otherwise(a))
         out = out.withColumn(best, longest)
         own = F.col(best).isNotNull() & (group(F.col(best)) == g)
         out = out.withColumn(blocks, F.when(own, block_of.contains(F.col(best))).otherwise(F.col(blocks)))

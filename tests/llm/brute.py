@@ -29,9 +29,9 @@ def url_verdict(url, rules, default="allow"):
     host = re.match(r"[^/?#]*", rest)[0]
     path = re.match(r"[^?#]*", rest[len(host) :])[0]
     host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
-    fits = [(len(h + p), h + p, a) for h, p, a in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    fits = [(len(h + p), len(h), h + p, a) for h, p, a in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     best = max(fits) if fits else None
-    return host, path, best and best[1], best[2] if best else default
+    return host, path, best and best[2], best[3] if best else default
 
 
 def fingerprint(text):
