@@ -21,6 +21,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from queuelens.session import materialize
+
 #: Labelled documents of one language that the fit reads, about.
 PER_LANG = 3000
 #: Frequencies that a model holds at most: grams times languages.
@@ -87,7 +89,7 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG, max_cells: int = MAX_CELL
     sample = usable.where(draw < share).select("lang", "text")
     langs = tuple(sorted(counts))
     grams = sample.mapInArrow(count_grams, "lang string, kind int, gram string, n bigint")
-    by_lang = grams.groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
+    by_lang = materialize(grams.groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")), "langid-grams")
     totals = {(r.lang, r.kind): r.n for r in by_lang.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
     rows = by_lang.groupBy("kind", "gram").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("n"))
     most = max(1, max_cells // len(langs) // 2)
