@@ -26,19 +26,24 @@ def rolling_totals(
     windows: dict[str, int],
     chunk_us: int = HOUR // 6,
 ) -> DataFrame:
-    """(id, key, `<measure>_<window>`...): sums of bigint measures over [t - window, t)."""
+    """(id, key, `<measure>_<window>`...) of every row of `df`: sums of bigint measures over [t - window, t).
+
+    Rows are first summed per (key, moment); only these sums are questioned and carried, and the answers are
+    joined back to the rows. Rows without a time have no history, so their sums are 0.
+    """
     names = list(measures)
     offsets = {"now": 0, **windows}
-    # A job asks for the total before its own time and before each window's start. Its question
+    rows = df.select(
+        F.col(id_column).alias("_id"), F.col(by).alias("_by"), time_us.alias("_t"), *[m.cast("bigint").alias(n) for n, m in measures.items()]
+    )
+    summed = rows.where(F.col("_t").isNotNull()).groupBy("_by", "_t").agg(*[F.sum(n).alias(n) for n in names])
+    # A moment asks for the total before its own time and before each window's start. Its question
     # at its own time also carries what it adds; the others add nothing.
     asks = F.array(*[F.struct(F.lit(i).alias("w"), F.lit(d).cast("bigint").alias("d")) for i, d in enumerate(offsets.values())])
     added = [F.when(F.col("q.w") == 0, F.col(n)).otherwise(F.lit(0).cast("bigint")).alias(n) for n in names]
     moments = (
-        df.select(
-            F.col(id_column).alias("_id"), F.col(by).alias("_by"), time_us.alias("_t"),
-            *[m.cast("bigint").alias(n) for n, m in measures.items()], F.explode(asks).alias("q"),
-        )
-        .select("_id", "_by", F.col("q.w").alias("_w"), (F.col("_t") - F.col("q.d")).alias("_at"), *added)
+        summed.select("_by", "_t", *names, F.explode(asks).alias("q"))
+        .select("_by", "_t", F.col("q.w").alias("_w"), (F.col("_t") - F.col("q.d")).alias("_at"), *added)
         .withColumn("_chunk", F.floor(F.col("_at") / F.lit(chunk_us)))
     )
 
@@ -49,7 +54,7 @@ def rolling_totals(
         F.col("_by").alias("_kb"), F.col("_chunk").alias("_kc"), *[F.sum(n).over(earlier).alias(f"_c_{n}") for n in names]
     )
     inside = Window.partitionBy("_by", "_chunk").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
-    running = moments.select("_id", "_by", "_w", "_chunk", *[F.sum(n).over(inside).alias(n) for n in names])
+    running = moments.select("_by", "_t", "_w", "_chunk", *[F.sum(n).over(inside).alias(n) for n in names])
     answers = running.join(carried, F.col("_by").eqNullSafe(F.col("_kb")) & (F.col("_chunk") == F.col("_kc")))
 
     zero = F.lit(0).cast("bigint")
@@ -58,10 +63,10 @@ def rolling_totals(
         before = F.coalesce(F.col(name), zero) + F.coalesce(F.col(f"_c_{name}"), zero)
         return F.sum(F.when(F.col("_w") == window, before))
 
-    differences = [
-        (total(n, 0) - total(n, i)).alias(f"{n}_{w}") for i, w in enumerate(offsets) if w != "now" for n in names
-    ]
-    return answers.groupBy(F.col("_id").alias(id_column), F.col("_by").alias(by)).agg(*differences)
+    found = {f"{n}_{w}": total(n, 0) - total(n, i) for i, w in enumerate(offsets) if w != "now" for n in names}
+    told = answers.groupBy(F.col("_by").alias("_tb"), F.col("_t").alias("_tt")).agg(*[c.alias(n) for n, c in found.items()])
+    joined = rows.join(told, F.col("_by").eqNullSafe(F.col("_tb")) & (F.col("_t") == F.col("_tt")), "left")
+    return joined.select(F.col("_id").alias(id_column), F.col("_by").alias(by), *[F.coalesce(n, zero).alias(n) for n in found])
 
 
 def user_history(df: DataFrame, days: Sequence[int] = (7, 30, 90)) -> DataFrame:

@@ -65,9 +65,9 @@ def cache_hit_rate(requests: DataFrame) -> DataFrame:
 
 
 def queue_size(requests: DataFrame) -> DataFrame:
-    """Streamed requests of the trailing window, as far as the queue can hold them."""
+    """Streamed requests of the trailing window, and whether a queue of MAX_QUEUE could hold them."""
     found = trailing(requests.where(F.col("method") == "PredictStream"), {"n": F.lit(1)})
-    return found.select("window_start", F.least(F.col("n"), F.lit(MAX_QUEUE)).cast("bigint").alias("queue_size"))
+    return found.select("window_start", F.col("n").alias("queue_size"), (F.col("n") > MAX_QUEUE).alias("over_capacity"))
 
 
 def batch_size(requests: DataFrame) -> DataFrame:

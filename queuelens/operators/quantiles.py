@@ -167,7 +167,14 @@ def grouped_quantiles(
     same = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}")) for k in by])
     small = df.alias("l").join(hot.alias("h"), same, "left_anti")
     large = df.alias("l").join(hot.alias("h"), same, "left_semi")
-    return _built_in(small, columns, by).unionByName(exact_quantiles(large, columns, by))
+    # A hot group without any value has no row in the search, but it has one here.
+    found = exact_quantiles(large, columns, by).alias("f")
+    keys = reduce(lambda a, b: a & b, [F.col(f"f.{k}").eqNullSafe(F.col(f"h.{k}")) for k in by])
+    none = {c: F.array(*[F.lit(None).cast("double") for _ in ps]) for c, ps in columns.items()}
+    searched = hot.alias("h").join(found, keys, "left").select(
+        *[F.col(f"h.{k}") for k in by], *[F.coalesce(F.col(f"f.{c}"), none[c]).alias(c) for c in columns]
+    )
+    return _built_in(small, columns, by).unionByName(searched)
 
 
 def approx_quantiles(

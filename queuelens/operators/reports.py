@@ -7,9 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from queuelens.functions import reports as R
 from queuelens.operators.filters import valid_request
 
-PART_JOBS = 10_000
-
-
 def scored_rows(df: DataFrame) -> DataFrame:
     """What the report shows for rows that carry a `predicted_runtime`."""
     predicted, requested = F.col("predicted_runtime"), F.col("wallclock_req")
@@ -41,13 +38,6 @@ def union_results(succeeded: DataFrame, failed: DataFrame) -> DataFrame:
     return succeeded.unionByName(failed, allowMissingColumns=True)
 
 
-def walltime_report(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Valid rows scored (they carry `predicted_runtime`), invalid rows listed as failed."""
-    bad = F.lit("Invalid job features provided")
-    good_rows = scored_rows(df.where(valid_request()))
-    return union_results(good_rows, failed_rows(df.where(~valid_request()), bad, keep))
-
-
 def service_rows(df: DataFrame) -> DataFrame:
     """The service's answer per job: failed jobs get zeros and the marker `error`."""
     ok = F.col("prediction_status") == "success"
@@ -58,21 +48,17 @@ def service_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def collect_errors(df: DataFrame, message: Column, batch: str = "batch_id", index: str = "idx") -> DataFrame:
-    """Per batch: jobs, failures, and the error texts `Job i: message` in job order.
+def collect_errors(df: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """Per batch, in one row: its jobs and how many of them failed."""
+    return df.groupBy(batch).agg(
+        F.count(F.lit(1)).alias("total_predictions"), F.count_if(~valid_request()).alias("failed_predictions")
+    )
+
 
-    A batch over PART_JOBS jobs is reported in several parts, so that no list grows without
-    bound and none is cut; ordinary batches have the single part 0.
-    """
-    bad = ~valid_request()
+def error_texts(df: DataFrame, message: Column, batch: str = "batch_id", index: str = "idx") -> DataFrame:
+    """A row for each failed job: (batch, idx, `Job i: message`), so that no batch makes a list."""
     text = F.format_string("Job %d: %s", F.col(index), message)
-    entry = F.when(bad, F.struct(F.col(index).alias("i"), text.alias("text")))
-    part = F.floor(F.col(index) / F.lit(PART_JOBS)).cast("int").alias("part")
-    return df.groupBy(batch, part).agg(
-        F.count(F.lit(1)).alias("total_predictions"),
-        F.count_if(bad).alias("failed_predictions"),
-        F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["text"]).alias("errors"),
-    )
+    return df.where(~valid_request()).select(batch, index, text.alias("error"))
 
 
 def summary_text(summary: DataFrame, file_name: str = "jobs.csv") -> DataFrame:

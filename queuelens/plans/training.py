@@ -32,9 +32,8 @@ class TrainingParams:
     max_bins: int = 256
     trees: int = 40
     forest_depth: int = 8
-    # Boosting stops when validation error stops improving by this share; MLlib's default
-    # stops weak signals after one tree.
-    validation_tol: float = 0.001
+    # Boosting stops at the first round that doesn't lower the validation error; MLlib has no patience.
+    validation_tol: float = 0.0
     max_categories: int = 32
     seed: int = 42
     use_log: bool = True

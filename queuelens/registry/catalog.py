@@ -157,10 +157,5 @@ def state(spark: SparkSession, sf: str) -> features.FeatureState:
     return _once(spark, sf, "state", lambda: features.fit(train_rows(spark, sf)))
 
 
-SMALL_TRAINING = training.TrainingParams(max_iter=8, max_depth=4, trees=8, forest_depth=5, max_bins=64)
-
-
 def trained(spark: SparkSession, sf: str) -> training.TrainedEnsemble:
-    return _once(
-        spark, sf, "trained", lambda: training.train_all(split_table(spark, sf), SMALL_TRAINING, state(spark, sf))
-    )
+    return _once(spark, sf, "trained", lambda: training.train_all(split_table(spark, sf), state=state(spark, sf)))

@@ -23,8 +23,8 @@ FROM (
     concat('user_', lpad(CAST(user_id AS VARCHAR), 3, '0')) AS "user",
     concat('proj_', lpad(CAST(user_id % 20 AS VARCHAR), 2, '0')) AS account,
     CASE WHEN event_id % 23 = 0 THEN NULL ELSE concat(
-      CASE event_id % 8 WHEN 0 THEN 'simulation' WHEN 1 THEN 'analysis' WHEN 2 THEN 'ml_train' WHEN 3 THEN 'data_proc'
-        WHEN 4 THEN 'optimization' WHEN 5 THEN 'monte_carlo' WHEN 6 THEN 'fluid_sim' ELSE 'genome_align' END,
+      CASE event_id % 8 WHEN 0 THEN 'wind_map' WHEN 1 THEN 'tide_model' WHEN 2 THEN 'net_fit' WHEN 3 THEN 'log_sift'
+        WHEN 4 THEN 'grid_tune' WHEN 5 THEN 'ray_walk' WHEN 6 THEN 'heat_flow' ELSE 'fold_scan' END,
       CASE {K} % 10 WHEN 0 THEN '_MPI' WHEN 1 THEN '_cuda' WHEN 2 THEN concat('[0-', CAST({K} AS VARCHAR), ']')
         WHEN 3 THEN '_debug' WHEN 4 THEN '_prod' WHEN 5 THEN '_3of8' WHEN 6 THEN '[7]' ELSE '' END) END AS name,
     CASE WHEN event_id % 20 < 17 THEN 'COMPLETED' WHEN event_id % 20 < 19 THEN 'FAILED' ELSE 'TIMEOUT' END AS state,

@@ -421,13 +421,19 @@ def preview(spark, sf):
 
 @query(
     "collect_errors",
-    """SELECT batch_id, CAST(0 AS INTEGER) AS part, count(*) AS total_predictions, count(*) FILTER (WHERE NOT valid) AS failed_predictions,
-         coalesce(string_agg(CASE WHEN NOT valid THEN concat('Job ', idx, ': Invalid job features provided') END, '; ' ORDER BY idx), '') AS errors
+    """SELECT batch_id, count(*) AS total_predictions, count(*) FILTER (WHERE NOT valid) AS failed_predictions
        FROM service_requests GROUP BY batch_id""",
 )
 def collect_errors(spark, sf):
-    found = reports.collect_errors(service_requests(spark, sf), F.lit("Invalid job features provided"))
-    return found.withColumn("errors", F.array_join("errors", "; "))
+    return reports.collect_errors(service_requests(spark, sf))
+
+
+@query(
+    "error_texts",
+    """SELECT batch_id, idx, concat('Job ', idx, ': Invalid job features provided') AS error FROM service_requests WHERE NOT valid""",
+)
+def error_texts(spark, sf):
+    return reports.error_texts(service_requests(spark, sf), F.lit("Invalid job features provided"))
 
 
 @query(

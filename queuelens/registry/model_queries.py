@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from queuelens.operators import evaluation
 from queuelens.plans import features, scoring, training
-from queuelens.registry.catalog import SMALL_TRAINING, query, service_requests, split_table, state, trained
+from queuelens.registry.catalog import query, service_requests, split_table, state, trained
 from queuelens.sources import models as model_store
 
 
@@ -20,9 +20,9 @@ def assemble(spark, sf):
 def _member(name, key):
     @query(key)
     def run(spark, sf):
-        frame = training.learning_frame(split_table(spark, sf), state(spark, sf))
-        model = training.train_member(name, frame, SMALL_TRAINING)
-        return evaluation.regression_metrics(training.scored_long(frame, {name: model}))
+        t = trained(spark, sf)  # fitted once in a session, with the library's own parameters
+        frame = training.learning_frame(split_table(spark, sf), t.state)
+        return evaluation.regression_metrics(training.scored_long(frame, {name: t.models[name]}))
 
 
 _member("boosted", "train_gbt_a")

@@ -64,7 +64,7 @@ def cache_hit_rate(spark, sf):
 
 @query(
     "queue_size",
-    f"""SELECT {_start} AS window_start, CAST(least(count(*), 10000) AS BIGINT) AS queue_size
+    f"""SELECT {_start} AS window_start, count(*) AS queue_size, count(*) > 10000 AS over_capacity
         FROM {_sliding('requests')} WHERE method = 'PredictStream' GROUP BY 1""",
 )
 def queue_size(spark, sf):

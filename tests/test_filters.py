@@ -90,9 +90,10 @@ def test_errors_are_whole_and_in_order_for_a_huge_batch(spark):
         "cast(1 as bigint) as batch_id", "cast(id as int) as idx", "cast(0 as int) as processors_req", "1 as nodes_req",
         "1e0 as mem_req", "1e0 as wallclock_req", "'a' as partition", "'b' as qos",
     )
-    parts = reports.collect_errors(df, F.lit("bad")).orderBy("part").collect()
-    assert [r["failed_predictions"] for r in parts] == [10_000, 10_000, 5_000]
-    assert [e for r in parts for e in r["errors"]] == [f"Job {i}: bad" for i in range(n)]
+    totals = [(r["total_predictions"], r["failed_predictions"]) for r in reports.collect_errors(df).collect()]
+    assert totals == [(n, n)]
+    texts = reports.error_texts(df, F.lit("bad")).orderBy("idx").collect()
+    assert [r["error"] for r in texts] == [f"Job {i}: bad" for i in range(n)]
 
 
 def test_profile_narrow_types(job_rows):

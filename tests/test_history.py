@@ -49,3 +49,16 @@ def test_active_connections_by_hand(spark):
     base = int(T0.timestamp() * 1e6)
     got = {(r["at_us"] - base) / 1e6: r["active"] for r in history.active_connections(df).collect()}
     assert got == {0.0: 1, 1.0: 2, 2.0: 2, 2.5: 1, 101.0: 0}
+
+
+def test_no_row_is_lost_or_merged(spark):
+    # Two rows share an id, one has no time, and one moment holds most rows of its key.
+    rows = [(1, "u", T0, 10), (1, "u", T0 + timedelta(hours=1), 20), (2, "u", None, 5), (3, None, T0, 7)]
+    rows += [(100 + i, "array", T0 + timedelta(hours=2), 1) for i in range(500)] + [(900, "array", T0 + timedelta(hours=3), 1)]
+    df = spark.createDataFrame(rows, "job_id bigint, user string, submit_time timestamp, run_time bigint")
+    got = history.user_history(df, days=(7,)).collect()
+    assert len(got) == len(rows)
+    seen = sorted((r["job_id"], r["user_jobs_7d"]) for r in got if r["job_id"] < 100)
+    assert seen == [(1, 0), (1, 1), (2, 0), (3, 0)]
+    assert {r["user_jobs_7d"] for r in got if 100 <= r["job_id"] < 900} == {0}
+    assert [(r["user_jobs_7d"], r["user_mean_runtime_7d"]) for r in got if r["job_id"] == 900] == [(500, 1.0)]

@@ -77,3 +77,9 @@ def test_histogram_of_equal_values(spark):
     df = spark.createDataFrame([(5.0,)] * 4, "predicted_runtime double")
     bins = aggregates.runtime_histogram(df).orderBy("bin").collect()
     assert len(bins) == 30 and bins[0]["n"] == 4 and sum(b["n"] for b in bins) == 4
+
+
+def test_queue_size_is_not_clipped(spark):
+    df = spark.range(20_001).selectExpr("timestamp'2024-01-01 00:00:30' AS ts", "'PredictStream' AS method")
+    found = {(r["queue_size"], r["over_capacity"]) for r in monitoring.queue_size(df).collect()}
+    assert found == {(20_001, True)}
