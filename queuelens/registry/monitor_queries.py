@@ -187,10 +187,8 @@ def _drained(spark, df, label):
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _drained_complete(spark, df, label):
-    path, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
-    writers.stream_complete_sink(df, path, checkpoint).awaitTermination()
-    return writers.read_newest_epoch(spark, path)
+#: Only windows that the watermark has passed are appended.
+_CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM requests)"
 
 
 @query("stream_source", "SELECT request_seq, ts, method, status, latency_s FROM requests")
@@ -230,27 +228,43 @@ def stream_score(spark, sf):
     return _drained(spark, scored.select("request_id", "predicted_runtime", "confidence_lower", "confidence_upper"), "stream-scored")
 
 
-@query("stream_dedup_ttl")
+@query(
+    "stream_dedup_ttl",
+    """SELECT request_id, submit_time, reused FROM (
+         WITH RECURSIVE in_order AS (
+           SELECT request_id, submit_time, key, row_number() OVER (PARTITION BY key ORDER BY submit_time, request_id) AS rn
+           FROM (SELECT *, md5(concat_ws('~', processors_req, nodes_req, mem_req, wallclock_req, "partition", qos)) AS key
+                 FROM service_requests WHERE valid)),
+         chain AS (
+           SELECT *, submit_time AS answered, FALSE AS reused FROM in_order WHERE rn = 1
+           UNION ALL
+           SELECT n.*, CASE WHEN n.submit_time <= c.answered + INTERVAL 300 SECOND THEN c.answered ELSE n.submit_time END,
+                  n.submit_time <= c.answered + INTERVAL 300 SECOND
+           FROM chain c JOIN in_order n ON n.key = c.key AND n.rn = c.rn + 1)
+         SELECT * FROM chain)""",
+)
 def stream_dedup_ttl(spark, sf):
-    first = streams.stream_dedup(_request_stream(spark, sf))
-    return _drained(spark, first.select("request_id", "feature_key", "submit_time"), "stream-first")
+    answered = streams.stream_reuse(_request_stream(spark, sf))
+    return out(_drained(spark, answered, "stream-reuse"), ["request_id", "submit_time", "reused"])
 
 
 @query(
     "stream_request_rate",
-    "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, method, count(*) AS n FROM requests GROUP BY 1, 2",
+    f"""SELECT window_start, method, count(*) AS n
+        FROM (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, method FROM requests)
+        WHERE window_start + INTERVAL 5 MINUTE <= {_CLOSED} GROUP BY 1, 2""",
 )
 def stream_request_rate(spark, sf):
     rates = streams.request_rate(views.requests_from_events(_event_stream(spark, sf)))
-    found = _drained_complete(spark, rates, "stream-rate")
-    return out(found, ["window_start", "method", "n"])
+    return out(_drained(spark, rates, "stream-rate"), ["window_start", "method", "n"])
 
 
 @query(
     "stream_sliding_rate",
-    f"SELECT {_start} AS window_start, method, round(count(*) / 300.0e0, 6) AS per_second FROM {_sliding('requests')} GROUP BY 1, 2",
+    f"""SELECT window_start, method, round(count(*) / 300.0e0, 6) AS per_second
+        FROM (SELECT {_start} AS window_start, method FROM {_sliding('requests')})
+        WHERE window_start + INTERVAL 5 MINUTE <= {_CLOSED} GROUP BY 1, 2""",
 )
 def stream_sliding_rate(spark, sf):
     rates = streams.sliding_rate(views.requests_from_events(_event_stream(spark, sf)))
-    found = rounded(_drained_complete(spark, rates, "stream-sliding"), "per_second")
-    return out(found, ["window_start", "method", "per_second"])
+    return out(rounded(_drained(spark, rates, "stream-sliding"), "per_second"), ["window_start", "method", "per_second"])

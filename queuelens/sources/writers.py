@@ -56,25 +56,9 @@ def stream_sink(df: DataFrame, path: str, checkpoint: str, drain: bool = True) -
     return writer.start(path)
 
 
-def stream_complete_sink(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the newest full result of an aggregated stream under `<path>/epoch=N`.
+def dropped_late(query: StreamingQuery) -> int:
+    """How many rows came later than the watermark, over the progress reports that Spark still holds.
 
-    Every epoch writes its own folder, so a replayed micro-batch overwrites only itself.
+    Spark counts what reaches the state: for windowed counts, the late rows after partial aggregation.
     """
-
-    def save(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-
-    return (
-        df.writeStream.outputMode("complete")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(save)
-        .start()
-    )
-
-
-def read_newest_epoch(spark: SparkSession, path: str) -> DataFrame:
-    everything = spark.read.parquet(path)
-    newest = everything.agg(F.max("epoch").alias("epoch")).select("epoch").scalar()
-    return everything.where(F.col("epoch") == newest).drop("epoch")
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)

@@ -1,9 +1,13 @@
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import functions as F
 
 from queuelens import views
 from queuelens.operators.filters import skip_invalid
 from queuelens.plans import scoring
 from queuelens.registry import QUERIES, catalog
+from queuelens.sources import readers, writers
+from queuelens.streaming import requests as streams
 
 
 def test_stream_scores_equal_batch_scores(spark, sf):
@@ -18,15 +22,66 @@ def test_every_request_goes_to_one_sink(spark, sf):
     assert not good & bad and len(good) + len(bad) == views.events(spark, sf).count()
 
 
-def test_dedup_keeps_at_least_one_of_each_and_nothing_twice_in_time(spark, sf):
-    first = QUERIES["stream_dedup_ttl"](spark, sf)
-    everything = catalog.service_requests(spark, sf)
-    from queuelens.functions.reports import feature_key
-    from queuelens.schema import REQUEST_KEY
+REQUEST = "request_id bigint, processors_req int, nodes_req int, mem_req double, wallclock_req double, partition string, qos string, submit_time timestamp"
+
+
+def _at(second):
+    return None if second is None else datetime(2024, 1, 3, tzinfo=timezone.utc) + timedelta(seconds=second)
+
+
+def _request(request_id, second, cpus=4):
+    return (request_id, cpus, 1, 100.0, 60.0, "gpu", "normal", _at(second))
+
+
+def _streamed(spark, folder, batches, schema, make, **options):
+    """The result of a stream that reads one file per micro-batch, and its query."""
+    source = f"{folder}/in"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = make(readers.stream_source(spark, source, spark.createDataFrame([], schema).schema, files_per_trigger=1))
+    running = writers.stream_sink(stream, f"{folder}/out", f"{folder}/checkpoint")
+    running.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out"), running
+
+
+def _reused(spark, folder, batches):
+    found, _ = _streamed(spark, folder, batches, REQUEST, streams.stream_reuse)
+    rows = found.collect()
+    assert len(rows) == len({r["request_id"] for r in rows})
+    return {r["request_id"]: r["reused"] for r in rows}
+
+
+def test_an_answer_serves_300_seconds_from_its_request(spark, tmp_path):
+    rows = [_request(0, 0), _request(1, 299), _request(2, 300), _request(3, 301), _request(4, 601), _request(5, 602)]
+    rows += [_request(6, 10, cpus=8), _request(7, 20, cpus=0), _request(8, None)]
+    want = {0: False, 1: True, 2: True, 3: False, 4: True, 5: False, 6: False, 8: False}
+    assert _reused(spark, tmp_path, [rows]) == want
+
+
+def test_reuse_is_the_same_for_any_cut_into_micro_batches(spark, tmp_path):
+    rows = [_request(i, 97 * i + 40 * (i % 3), cpus=1 + i % 3) for i in range(100)]
+    rows.sort(key=lambda r: r[-1])
+    whole = _reused(spark, tmp_path / "one", [rows])
+    cut = _reused(spark, tmp_path / "five", [rows[i : i + 20] for i in range(0, 100, 20)])
+    assert whole == cut and len(whole) == 100 and 0 < sum(whole.values()) < 97
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    def calls(seconds):
+        return [(_at(s), "Predict") for s in seconds]
+
+    day = 86_400
+    # A batch is late by the watermark that the batch before it had closed windows with.
+    batches = [calls([1, 2, 3]), calls([day]), calls([day + 1]), calls([4, 5, 6, 7, 8, day + 2])]
+    found, running = _streamed(spark, tmp_path, batches, "ts timestamp, method string", streams.request_rate)
+    assert [(r["window_start"].minute, r["n"]) for r in found.collect()] == [(0, 3)]  # the last day's window is still open
+    assert writers.dropped_late(running) >= 1
+
 
-    keys = {r["k"] for r in everything.select(feature_key(REQUEST_KEY).alias("k")).distinct().collect()}
-    assert {r["feature_key"] for r in first.select("feature_key").distinct().collect()} == keys
-    assert first.count() <= everything.count()
+def test_sliding_windows_hold_each_call_five_times(spark, tmp_path):
+    rows = [(_at(30), "Predict"), (_at(3600), "Predict")]
+    found, _ = _streamed(spark, tmp_path, [rows], "ts timestamp, method string", streams.sliding_rate)
+    assert [r["per_second"] for r in found.collect()] == [1 / 300] * 5
 
 
 def test_batch_and_stream_share_validation(spark, sf):
