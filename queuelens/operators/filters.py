@@ -114,7 +114,10 @@ def convert_units(df: DataFrame, mem_gb: str = "mem_gb", hours: str = "walltime_
 
 
 def serving_defaults(df: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """A request as a full job row; what the request itself gives (user, times) is kept."""
+    """A request as a full job row; what the request itself gives (user, times) is kept.
+
+    Its index in the batch serves as job id, 0 where it has none.
+    """
     as_of = as_of if as_of is not None else F.current_timestamp()
     fixed = {
         "user": F.lit("unknown"),
@@ -128,6 +131,8 @@ def serving_defaults(df: DataFrame, as_of: Column | None = None) -> DataFrame:
     df = df.withColumns({c: F.coalesce(F.col(c), d) if c in df.columns else d for c, d in fixed.items()})
     if "start_time" not in df.columns:
         df = df.withColumn("start_time", F.col("submit_time"))
+    if "job_id" not in df.columns:
+        df = df.withColumn("job_id", (F.col("idx") if "idx" in df.columns else F.lit(0)).cast("bigint"))
     return df
 
 

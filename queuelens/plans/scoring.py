@@ -9,10 +9,15 @@ from queuelens.operators.filters import serving_defaults, skip_invalid, valid_re
 from queuelens.operators.joins import score_distinct
 from queuelens.operators.reports import failed_rows, scored_rows, union_results
 from queuelens.plans import features
-from queuelens.plans.training import TrainedEnsemble, assemble, ensemble_predict
+from queuelens.plans.training import TrainedEnsemble, assemble, ensemble_predict, importance_map
 from queuelens.schema import REQUEST_KEY
 
-OUTPUTS = ["predicted_runtime", "confidence_lower", "confidence_upper", "model_version", "features_used"]
+OUTPUTS = [
+    "predicted_runtime", "confidence_lower", "confidence_upper", "model_version", "features_used", "runtime_category",
+    "prediction_confidence", "prediction_timestamp", "feature_importance",
+]
+#: The service's fixed confidence of an answered request.
+CONFIDENCE = 0.8
 
 
 def predict(df: DataFrame, trained: TrainedEnsemble, as_of: Column | None = None) -> DataFrame:
@@ -30,6 +35,10 @@ def predict(df: DataFrame, trained: TrainedEnsemble, as_of: Column | None = None
             "confidence_upper": upper,
             "model_version": F.lit(trained.info.get("version", "1.0")),
             "features_used": F.lit(len(state.features)),
+            "runtime_category": R.runtime_category(F.col("predicted_runtime")),
+            "prediction_confidence": F.lit(CONFIDENCE),
+            "prediction_timestamp": F.unix_seconds(F.current_timestamp()),
+            "feature_importance": F.create_map(*[F.lit(x) for pair in importance_map(trained).items() for x in pair]),
         }
     )
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from datetime import datetime, timezone
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler, VectorIndexer
+from pyspark.ml.feature import VectorAssembler, VectorIndexer, VectorSlicer
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,6 +19,8 @@ from queuelens.plans import features
 from queuelens.session import materialize
 
 METRICS = ["mae", "rmse", "r2", "mape"]
+#: Features whose numbers are codes without an order.
+NOMINAL = ("partition_encoded", "qos_encoded")
 
 
 @dataclass(frozen=True)
@@ -34,7 +37,6 @@ class TrainingParams:
     forest_depth: int = 8
     # Boosting stops at the first round that doesn't lower the validation error; MLlib has no patience.
     validation_tol: float = 0.0
-    max_categories: int = 32
     seed: int = 42
     use_log: bool = True
 
@@ -79,12 +81,12 @@ def learning_frame(table: DataFrame, state: features.FeatureState, use_log: bool
     return assemble(rows, state.features, keep=["job_id", "split", "label", "is_validation"])
 
 
-def boosted_trees(p: TrainingParams) -> Pipeline:
+def boosted_trees(p: TrainingParams, state: features.FeatureState) -> Pipeline:
     """Boosted trees on squared error, stopped by the validation rows."""
     return Pipeline(stages=[_boosting(p, "features", "squared")])
 
 
-def forest(p: TrainingParams) -> Pipeline:
+def forest(p: TrainingParams, state: features.FeatureState) -> Pipeline:
     """A second, differently built member: independent deep trees on bootstrap samples."""
     return Pipeline(
         stages=[
@@ -96,12 +98,31 @@ def forest(p: TrainingParams) -> Pipeline:
     )
 
 
-def categorical_trees(p: TrainingParams) -> Pipeline:
-    """Boosted trees on absolute error that treat few-valued columns as categories."""
-    indexer = VectorIndexer(
-        inputCol="features", outputCol="indexed", maxCategories=p.max_categories, handleInvalid="keep"
-    )
-    return Pipeline(stages=[indexer, _boosting(p, "indexed", "absolute")])
+def categorical_trees(p: TrainingParams, state: features.FeatureState) -> Pipeline:
+    """Boosted trees on absolute error that treat the encoded columns, and no others, as categories.
+
+    Room for categories follows the fitted dictionaries, so none turns into a number as it grows.
+    """
+    columns = state.features
+    codes = [i for i, c in enumerate(columns) if c in NOMINAL]
+    plain = [i for i, c in enumerate(columns) if c not in NOMINAL]
+    # One count of the dictionary: its longest column, and -1 for what it lacks.
+    longest = state.codes.groupBy("column").count().agg(F.max("count")).first()[0] or 0
+    values = max(2, longest + 1)
+    stages = [
+        VectorSlicer(inputCol="features", outputCol="plain", indices=plain),
+        VectorSlicer(inputCol="features", outputCol="codes", indices=codes),
+        VectorIndexer(inputCol="codes", outputCol="categories", maxCategories=values, handleInvalid="keep"),
+        VectorAssembler(inputCols=["plain", "categories"], outputCol="indexed", handleInvalid="keep"),
+    ]
+    return Pipeline(stages=[*stages, _boosting(replace(p, max_bins=max(p.max_bins, values + 1)), "indexed", "absolute")])
+
+
+def input_columns(model: PipelineModel, columns: list[str]) -> list[str]:
+    """The feature names in the order in which the model's trees number them."""
+    if len(model.stages) == 1:
+        return columns
+    return [c for c in columns if c not in NOMINAL] + [c for c in columns if c in NOMINAL]
 
 
 def _boosting(p: TrainingParams, columns: str, loss: str) -> GBTRegressor:
@@ -112,24 +133,23 @@ def _boosting(p: TrainingParams, columns: str, loss: str) -> GBTRegressor:
     )
 
 
-MEMBERS: dict[str, Callable[[TrainingParams], Pipeline]] = {
+MEMBERS: dict[str, Callable[[TrainingParams, features.FeatureState], Pipeline]] = {
     "boosted": boosted_trees,
     "forest": forest,
     "categorical": categorical_trees,
 }
 
 
-def train_member(name: str, frame: DataFrame, p: TrainingParams) -> PipelineModel:
+def train_member(name: str, frame: DataFrame, p: TrainingParams, state: features.FeatureState) -> PipelineModel:
     """Fits one member; members without early stopping learn from the training rows only."""
     rows = frame if name != "forest" else frame.where(~F.col("is_validation"))
-    return MEMBERS[name](p).fit(rows)
+    return MEMBERS[name](p, state).fit(rows)
 
 
 def member_predictions(frame: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
     """One column `pred_<member>` per model, in log space."""
     for name, model in models.items():
-        inner = [c for c in ("indexed",) if c in _outputs(model)]
-        frame = model.transform(frame).withColumnRenamed("prediction", f"pred_{name}").drop(*inner)
+        frame = model.transform(frame).withColumnRenamed("prediction", f"pred_{name}").drop(*_outputs(model))
     return frame
 
 
@@ -161,11 +181,20 @@ def importance_ranked(models: dict[str, PipelineModel], columns: list[str], fram
     rows = []
     for name, model in models.items():
         scores = model.stages[-1].featureImportances.toArray().tolist()
-        ordered = sorted(zip(columns, scores), key=lambda p: (-p[1], p[0]))
+        ordered = sorted(zip(input_columns(model, columns), scores), key=lambda p: (-p[1], p[0]))
         rows += [(name, i + 1, f, float(s)) for i, (f, s) in enumerate(ordered)]
     return frame.sparkSession.createDataFrame(rows, "model string, rank int, feature string, importance double")
 
 
+def importance_map(trained: TrainedEnsemble, n: int = 10) -> dict[str, float]:
+    """The `n` features that count most over all members, by their weights: 44 numbers a member are read."""
+    total: dict[str, float] = {}
+    for r in trained.importance.collect():
+        if r["model"] in trained.weights:
+            total[r["feature"]] = total.get(r["feature"], 0.0) + trained.weights[r["model"]] * r["importance"]
+    return dict(sorted(total.items(), key=lambda p: (-p[1], p[0]))[:n])
+
+
 def top_features(importance: DataFrame, model: str, n: int = 10) -> DataFrame:
     return importance.where(F.col("model") == model).orderBy(F.desc("importance"), "feature").limit(n)
 
@@ -176,7 +205,7 @@ def train_all(table: DataFrame, params: TrainingParams | None = None, state: fea
     state = state or features.fit(table.where(F.col("split") == "train"))
     frame = learning_frame(table, state, p.use_log).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        models = {name: train_member(name, frame, p) for name in p.members}
+        models = {name: train_member(name, frame, p, state) for name in p.members}
         metrics = materialize(evaluation.regression_metrics(scored_long(frame, models)), "metrics")
         # One weight per member.
         weights = {r["model"]: r["weight"] for r in evaluation.ensemble_weights(metrics).collect()}
@@ -187,14 +216,24 @@ def train_all(table: DataFrame, params: TrainingParams | None = None, state: fea
         importance = importance_ranked(models, state.features, frame)
     finally:
         frame.unpersist()
-    info = {"version": "2.0", "model_type": "ensemble" if len(models) > 1 else p.members[0], "training_rows": str(table.count())}
-    return TrainedEnsemble(models, weights, metrics, importance, state, info)
+    info = {
+        "version": "2.0", "model_type": "ensemble" if len(models) > 1 else p.members[0], "training_rows": str(table.count()),
+        "training_date": datetime.now(timezone.utc).isoformat(timespec="seconds"),
+    }
+    fitted = TrainedEnsemble(models, weights, metrics, importance, state, info)
+    tested = materialize(evaluation.regression_metrics(_test_scores(table, fitted, p.use_log)), "metrics-test")
+    return replace(fitted, metrics=metrics.unionByName(tested))
 
 
-def evaluate_test(table: DataFrame, trained: TrainedEnsemble, use_log: bool = True) -> DataFrame:
-    """Metrics and error percentiles of the best model on the test rows."""
+def _test_scores(table: DataFrame, trained: TrainedEnsemble, use_log: bool) -> DataFrame:
+    """(model, split, label, prediction) of the best model on the test rows."""
     rows = log_target(features.transform(table.where(F.col("split") == "test"), trained.state), use_log=use_log)
     frame = assemble(rows, trained.state.features, keep=["job_id", "split", "label"])
     scored = ensemble_predict(frame, trained.models, trained.weights).withColumn("model", F.lit(trained.best))
-    scored = scored.select("model", "split", "label", "prediction")
+    return scored.select("model", "split", "label", "prediction")
+
+
+def evaluate_test(table: DataFrame, trained: TrainedEnsemble, use_log: bool = True) -> DataFrame:
+    """Metrics and error percentiles of the best model on the test rows."""
+    scored = _test_scores(table, trained, use_log)
     return evaluation.regression_metrics(scored).join(evaluation.error_percentiles(scored), "model")

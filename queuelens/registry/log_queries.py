@@ -345,10 +345,11 @@ def convert_units(spark, sf):
 @query(
     "serving_defaults",
     """SELECT request_id, "user", 'default' AS account, 'job' AS name, CAST(0 AS INTEGER) AS gpus_req, 'PENDING' AS state,
-         CAST(0 AS BIGINT) AS run_time, submit_time, submit_time AS start_time, processors_req FROM service_requests""",
+         CAST(0 AS BIGINT) AS run_time, submit_time, submit_time AS start_time, processors_req,
+         CAST(idx AS BIGINT) AS job_id FROM service_requests""",
 )
 def serving_defaults(spark, sf):
-    names = ["request_id", "user", "account", "name", "gpus_req", "state", "run_time", "submit_time", "start_time", "processors_req"]
+    names = ["request_id", "user", "account", "name", "gpus_req", "state", "run_time", "submit_time", "start_time", "processors_req", "job_id"]
     return out(filters.serving_defaults(service_requests(spark, sf)), names)
 
 

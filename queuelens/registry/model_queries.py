@@ -7,14 +7,24 @@ from pyspark.sql import functions as F
 
 from queuelens.operators import evaluation
 from queuelens.plans import features, scoring, training
-from queuelens.registry.catalog import query, service_requests, split_table, state, trained
+from queuelens.registry.catalog import query, rounded, service_requests, split_table, state, trained
+from queuelens.schema import MODEL_FEATURES
 from queuelens.sources import models as model_store
 
 
-@query("assemble")
+_vector = ", ".join(f"round(coalesce(CAST(f.{c} AS DOUBLE), 0e0), 6) AS {c}" for c in MODEL_FEATURES)
+
+
+@query(
+    "assemble",
+    f"""SELECT f.job_id, f.split, round(ln(1 + CAST(s.run_time AS DOUBLE)), 6) AS label, {_vector}
+        FROM model_features f JOIN split_jobs s ON f.job_id = s.job_id WHERE f.split IN ('train', 'val')""",
+)
 def assemble(spark, sf):
     frame = training.learning_frame(split_table(spark, sf), state(spark, sf))
-    return frame.select("job_id", "split", "label", vector_to_array("features").alias("features"))
+    values = frame.select("job_id", "split", "label", vector_to_array("features").alias("_values"))
+    named = [F.col("_values")[i].alias(c) for i, c in enumerate(MODEL_FEATURES)]
+    return rounded(values.select("job_id", "split", "label", *named), "label", *MODEL_FEATURES)
 
 
 def _member(name, key):

@@ -90,3 +90,31 @@ def test_best_model_without_and_with_ensemble(spark):
     assert evaluation.best_model(df).first()["best_model"] == "b"
     more = df.union(spark.createDataFrame([("ensemble", "val", 9.0)], df.schema))
     assert tuple(evaluation.best_model(more).first()) == ("ensemble", "b", 2.0)
+
+
+def test_encoded_columns_stay_categories_beyond_32_values(spark, job_rows):
+    from datetime import datetime, timedelta, timezone
+
+    first = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    jobs = job_rows(*[
+        {"qos": f"q{i % 40:02}", "run_time": 600 + 900 * ((i % 40) % 2), "submit_time": first + timedelta(minutes=i)} for i in range(800)
+    ])
+    p = training.TrainingParams(members=("categorical",), max_iter=5)
+    fitted = training.train_all(training.training_table(jobs), p)
+    boosted = fitted.models["categorical"].stages[-1]
+    qos = training.input_columns(fitted.models["categorical"], fitted.state.features).index("qos_encoded")
+    rows = {r["rank"]: r["feature"] for r in fitted.importance.collect()}
+    assert rows[1] == "qos_encoded"
+    # Odd and even codes alternate, so one cut of a number line can't part them; one set of categories does.
+    assert f"feature {qos} in" in boosted.trees[0].toDebugString
+    unseen = jobs.limit(1).withColumn("qos", F.lit("new")).withColumn("request_id", F.lit(1))
+    assert scoring.score_batch(unseen, fitted).count() == 1
+
+
+def test_answers_and_model_info_carry_the_service_fields(spark, sf, ensemble):
+    answer = scoring.score_batch(catalog.service_requests(spark, sf), ensemble).first()
+    assert answer["runtime_category"] in ("short", "medium", "long", "very_long") and answer["prediction_confidence"] == 0.8
+    assert len(answer["feature_importance"]) == 10 and answer["prediction_timestamp"] > 0
+    info = store.model_info(spark, ensemble).first()
+    assert info["training_date"] and info["test_mae"] > 0 and info["test_mape"] > 0 and info["validation_mae"] > 0
+    assert set(info["tree_counts"]) == set(ensemble.models) and min(info["tree_counts"].values()) > 0
