@@ -18,6 +18,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def bucket_count(n: Column, rows: int) -> Column:
+    """How many buckets n rows are cut into: of `rows` rows each, and of more once sqrt(n) is more.
+
+    One window adds the buckets' sums up, others the rows of a bucket: neither has more than sqrt(n) rows.
+    """
+    return F.greatest(F.lit(1), F.ceil(n / F.greatest(F.lit(rows), F.ceil(F.sqrt(n))))).cast("bigint")
+
+
 def unused(columns: Iterable[str], base: str) -> str:
     """`base`, lengthened until it clashes with none of `columns` in any letter case."""
     taken = {c.lower() for c in columns}

@@ -7,7 +7,8 @@ head of that order up to the total budget.
 
 Running sums are never one task's work: a source's shuffled order is cut into buckets by the
 leading digits of the shuffle key, bucket totals are summed, and only rows of one bucket meet. The
-global order is cut the same way by ranges of the finish time. Bucket counts follow the row count.
+global order is cut the same way by ranges of the finish time. Buckets grow in number and in rows, each
+with the root of the row count, so that neither the sums nor a bucket is a large task.
 
 Edge cases: NULL and empty texts have size 0 and are taken 0 words; a NULL source is a source of
 its own, last; a NULL doc_id is shuffled by its text; repeated rows count as often as they occur;
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from queuelens.llm.common import WORD, unused
+from queuelens.llm.common import WORD, bucket_count, unused
 from queuelens.session import materialize
 
 #: The weights of sources in order, repeating.
@@ -97,8 +98,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = BUDGET_SHARE, epochs: i
     sources = materialize(targets(sources, weights, share, epochs).join(
         sources.select(F.col("source").alias("_s"), "n"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "mix-sources")
     # Few rows: one for each source.
-    buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / bucket_rows)).cast("bigint")
-    figures = sources.select(F.col("source").alias("_s"), "source_size", "target", buckets.alias("buckets"))
+    buckets = bucket_count(F.col("n"), bucket_rows).alias("buckets")
+    figures = sources.select(F.col("source").alias("_s"), "source_size", "target", buckets)
     known = sized.join(figures, sized["source"].eqNullSafe(figures["_s"])).drop("_s")
     known = known.withColumn("bucket", bucket_of(F.col("key"), F.col("buckets"))).drop("buckets")
     summed = running(known, "size", "sum", ["key", "size"], ("source",), "bucket").drop("bucket")
@@ -107,9 +108,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = BUDGET_SHARE, epochs: i
     copies = stored.select(
         "doc_id", "source", "size", "key", F.posexplode(F.array(*[finish(i) for i in range(epochs)])).alias("copy", "finish")
     )
-    whole = sources.agg((F.sum("source_size") * share).alias("budget"), F.sum("n").alias("n")).first()
-    budget, n = whole.budget or 0, whole.n or 0
-    ranges = max(1, -(-n // bucket_rows))
+    whole = sources.agg((F.sum("source_size") * share).alias("budget"), bucket_count(F.sum("n"), bucket_rows).alias("ranges")).first()
+    budget, ranges = whole.budget or 0, whole.ranges or 1
     # Up to time 1 each source gives its target; ranges beyond 2 widen, as a long tail lies there.
     late = F.lit(2 * ranges) + F.floor(F.log2(F.col("finish") / 2) * ranges)
     copies = copies.withColumn("range", F.when(F.col("finish") <= 2, F.floor(F.col("finish") * ranges)).otherwise(late).cast("bigint"))

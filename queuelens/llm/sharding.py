@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from queuelens.llm.common import bucket_count
 from queuelens.session import materialize
 
 SLOTS = 4096
@@ -154,8 +155,8 @@ def place(records: DataFrame, slot_map: SlotMap, bucket_rows: int = BUCKET_ROWS)
     are summed, so that no task numbers a whole shard.
     """
     virtual = slot_map.slot(F.col("text_hash"), F.col("id_hash"))
-    n = records.count()
-    buckets = max(1, -(-n // (slot_map.shards * bucket_rows)))
+    shard_rows = F.ceil(F.count("*") / slot_map.shards)
+    buckets = records.agg(bucket_count(shard_rows, bucket_rows)).first()[0]
     placed = records.withColumn("virtual_slot", virtual).withColumn("shard", slot_map.shard_of(F.col("virtual_slot")))
     placed = placed.withColumn("bucket", F.pmod(F.col("id_hash"), F.lit(buckets)))
     earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -220,6 +220,15 @@ def test_mixture_order_and_figures(spark, sf):
     assert budget - max(r.size for r in rows) * len(sizes) < rows[-1].position <= budget
 
 
+def test_buckets_grow_with_the_root_of_the_rows(spark):
+    from queuelens.llm.common import bucket_count
+
+    rows = [0, 1, 2000, 2001, 4_000_000, 10**12]
+    found = spark.createDataFrame([(n,) for n in rows], "n bigint").select(bucket_count(F.col("n"), 2000)).collect()
+    assert [r[0] for r in found] == [1, 1, 1, 2, 2000, 10**6]
+    assert spark.range(0).agg(bucket_count(F.sum("id"), 2000)).first()[0] == 1
+
+
 def test_mixing_odd_rows(spark):
     rows = ODD * 3
     got = mixing.taken_words(docs_of(spark, rows)).collect()
