@@ -176,17 +176,25 @@ _log_feature(
 )
 
 
-@query(
-    "feature_key",
-    """SELECT request_id, md5(concat_ws('~', processors_req, nodes_req, CAST(mem_req AS BIGINT), coalesce(CAST(CAST(wallclock_req AS BIGINT) AS VARCHAR), 'none'), "partition", qos)) AS feature_key
-       FROM service_requests""",
+def _json_field(name: str, value: str) -> str:
+    """A JSON member, NULL where the value is."""
+    return f"""'"{name}":' || {value}"""
+
+
+_mem = "CASE WHEN mem_req >= 1e7 THEN CAST(mem_req / 1e7 AS VARCHAR) || 'E7' ELSE CAST(mem_req AS VARCHAR) END"
+_json = ", ".join(
+    _json_field(name, value)
+    for name, value in {
+        "mem_req": _mem, "nodes_req": "nodes_req", "partition": """'"' || "partition" || '"'""", "processors_req": "processors_req",
+        "qos": """'"' || qos || '"'""", "wallclock_req": "CAST(wallclock_req AS VARCHAR)",
+    }.items()
 )
+
+
+@query("feature_key", f"SELECT request_id, md5('{{' || concat_ws(',', {_json}) || '}}') AS feature_key FROM service_requests")
 def feature_key(spark, sf):
-    text = F.concat_ws(
-        "~", "processors_req", "nodes_req", F.col("mem_req").cast("bigint"),
-        F.coalesce(F.col("wallclock_req").cast("bigint").cast("string"), F.lit("none")), "partition", "qos",
-    )
-    return service_requests(spark, sf).select("request_id", F.md5(text).alias("feature_key"))
+    """The digest that distinct scoring and the reuse stream go by."""
+    return service_requests(spark, sf).select("request_id", R.feature_key(REQUEST_KEY).alias("feature_key"))
 
 
 @query(

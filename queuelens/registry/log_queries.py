@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from queuelens import views
 from queuelens.operators import aggregates, filters, reports, splits
@@ -72,8 +72,8 @@ def pick_source(spark, sf):
 )
 def csv_to_parquet(spark, sf):
     target = writers.csv_to_parquet(spark, _store_jobs(spark, sf, "csv"), scratch_path(spark, "log-by-month"))
-    stored = spark.read.option("recursiveFileLookup", False).parquet(target)
-    return out(stored.withColumn("submit_month", F.date_format("submit_time", "yyyy-MM")), ["submit_month", "job_id", "run_time", "submit_time"])
+    stored = spark.read.schema(T.StructType([*JOB_SCHEMA.fields, T.StructField("submit_month", T.StringType())])).parquet(target)
+    return out(stored, ["submit_month", "job_id", "run_time", "submit_time"])
 
 
 @query("sink_parquet", "SELECT job_id, state, run_time, mem_req, submit_time FROM jobs")
