@@ -5,9 +5,10 @@ slot, and a slot-to-shard map, stored with a version, deals the slots to shards
 bytes. Rebalancing edits the map: it moves the fewest slots that even the shards out, and adds
 shards if wanted; records never hash anew.
 
-A slot heavier than a shard's share (a text with very many copies) is spread over several further
-slots by its records' ids; no shard could hold it otherwise. The map has at most SLOTS rows and four
-further slots for each shard, so it is edited on the driver and used as constants of a query.
+A text that makes up more than an eighth of a shard's share (one with very many copies) leaves its slot
+for one of its own; one above a whole share is spread over several by its records' ids, as no shard
+could hold it otherwise. Fewer than eight texts a shard are that heavy, and the map has SLOTS rows and
+those of such texts, so it is edited on the driver and used as constants of a query.
 
 Edge cases: NULL text has no bytes and the CRC of an empty one; NULL and repeated ids are
 ordinary; an empty table gives an empty result and a map of empty slots.
@@ -26,25 +27,27 @@ from queuelens.session import materialize
 SLOTS = 4096
 #: Bytes that each record takes besides its text.
 OVERHEAD = 8
+#: A text above this part of a shard's share gets slots of its own.
+HEAVY = 1 / 8
 BUCKET_ROWS = 2000
 
 
 @dataclass(frozen=True)
 class SlotMap:
-    """`shard[i]` holds slot i; slots from `base` on are the parts of split ones."""
+    """`shard[i]` holds slot i; slots from `base` on are those of heavy texts."""
 
     version: int
     base: int
     shards: int
     shard: tuple[int, ...]
-    split: tuple[tuple[int, int, int], ...] = ()  # (slot, its first part, parts)
+    split: tuple[tuple[int, int, int], ...] = ()  # (a heavy text's hash, its first slot, its slots)
 
     def slot(self, text_hash: Column, id_hash: Column) -> Column:
         slot = F.pmod(text_hash, F.lit(self.base))
         if not self.split:
             return slot
         keys, first, parts = (self._constant(x) for x in zip(*self.split))
-        place = F.array_position(keys, slot)
+        place = F.array_position(keys, text_hash)
         at = F.greatest(place, F.lit(1)).cast("int")
         part = F.element_at(first, at) + F.pmod(id_hash, F.element_at(parts, at))
         return F.when(place > 0, part).otherwise(slot)
@@ -137,11 +140,14 @@ def plan_map(records: DataFrame, shards: int, slots: int = SLOTS) -> SlotMap:
     plain = SlotMap(0, slots, shards, (0,) * slots)
     held = slot_bytes(records, plain.slot(F.col("text_hash"), F.col("id_hash")))
     whole = sum(held.values()) / shards
+    # Only a heavy slot holds a heavy text; there are fewer than 8 of either for each shard.
+    slots_of_heavy = [slot for slot, size in held.items() if size > whole * HEAVY]
     split, first = [], slots
-    for slot, size in sorted(held.items()):
-        if size > whole:
-            parts = -(-size * 4 // max(int(whole), 1))
-            split.append((slot, first, parts))
+    if slots_of_heavy:
+        texts = records.where(F.pmod("text_hash", F.lit(slots)).isin(slots_of_heavy)).groupBy("text_hash").agg(F.sum("size").alias("size"))
+        for r in sorted(texts.where(F.col("size") > whole * HEAVY).collect()):
+            parts = -(-r.size * 4 // max(int(whole), 1)) if r.size > whole else 1
+            split.append((r.text_hash, first, parts))
             first += parts
     if split:
         held = slot_bytes(records, SlotMap(0, slots, shards, (), tuple(split)).slot(F.col("text_hash"), F.col("id_hash")))

@@ -277,6 +277,21 @@ def test_sharding_spreads_a_hot_text(spark):
     assert sharding.shard_documents(docs_of(spark, []), 8).count() == 0
 
 
+def test_sharding_keeps_lighter_texts_whole_beside_a_hot_one(spark):
+    # One slot for all: only the heavy text is spread, all others keep one shard each.
+    texts = ["hot " * 50] * 900 + [f"text {i % 40} " * (1 + i % 3) for i in range(600)] + [None, ""] * 5
+    docs = docs_of(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    records = sharding.record_sizes(docs)
+    slot_map = sharding.plan_map(records, 8, slots=4)
+    placed = sharding.place(records, slot_map).collect()
+    homes = defaultdict(set)
+    for r in placed:
+        homes[texts[r.doc_id] or ""].add(r.shard)
+    assert len(placed) == len(texts) and len(homes.pop("hot " * 50)) > 1
+    assert all(len(h) == 1 for h in homes.values())
+    assert sum(r.size for r in placed) == sum(len(t or "") + 8 for t in texts)
+
+
 def test_map_versions(spark, tmp_path):
     rng = np.random.default_rng(4)
     held = {i: int(x) for i, x in enumerate(rng.pareto(3, 256) * 1000)}
