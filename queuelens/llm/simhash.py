@@ -133,7 +133,10 @@ def links(prints: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42, tile: int = TILE) -> DataFrame:
-    """(doc_id, text_hash, fingerprint, component_id) of every row."""
+    """(doc_id, text_hash, fingerprint, component, component_id) of every row.
+
+    `component` is the smallest fingerprint, which no two components share; their smallest doc_id may be the same.
+    """
     rows = materialize(fingerprints(docs, words, seed), "simhash-prints")
     prints = materialize(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     # Only fingerprints with links take part; what links nothing is its own component.
@@ -144,13 +147,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
     named = materialize(named, "simhash-named")
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     smallest = materialize(smallest, "simhash-smallest")  # on its own, so that AQE can split a hot component
-    classes = named.join(smallest, "component").select("fingerprint", "component_id")
-    return rows.join(classes, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component_id")
+    classes = named.join(smallest, "component").select("fingerprint", "component", "component_id")
+    return rows.join(classes, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component", "component_id")
 
 
 def keep_one_each(docs: DataFrame, **options) -> DataFrame:
     """One row of `docs`, with all its columns, for each component: that with the smallest doc_id."""
     found = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # An id may repeat with other texts of its component; one of them stays.
-    found = found.groupBy("doc_id", "component_id").agg(F.min("text_hash").alias("text_hash"))
+    # An id may repeat with other texts of its component; one of them stays. Components of one smallest id stay apart.
+    found = found.groupBy("component", "doc_id").agg(F.min("text_hash").alias("text_hash"))
     return keep_matching(docs, found, {"doc_id": F.col("doc_id"), "text_hash": F.xxhash64("text")}, once=True)

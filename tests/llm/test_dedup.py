@@ -105,6 +105,18 @@ def test_simhash_keeps_one(spark):
     assert sorted(r.doc_id for r in stay.collect()) == [3, 4, 7]
 
 
+def test_simhash_keeps_components_of_one_smallest_id(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(400)) for c in "xyz")
+    for rows, stay in (
+        ([(None, one), (None, two)], [one, two]),
+        ([(4, one), (4, two)], [one, two]),
+        ([(None, one), (None, two), (None, two + " tail"), (4, three), (4, three), (None, three)], [one, two, three]),
+    ):
+        got = [(r.doc_id, r.text) for r in simhash.keep_one_each(rows_of(spark, rows)).collect()]
+        assert sorted(t.removesuffix(" tail") for _, t in got) == stay
+        assert all((i, t) in rows and (t != three or i == 4) for i, t in got)
+
+
 def near_vectors(rng, n, dim=24):
     centres = rng.standard_normal((n // 8, dim))
     out = []
