@@ -28,7 +28,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near copies."""
+    """Keeps one row of each group of near copies, which are those of op10's contract: 4 words, 4 differing bits.
+
+    That is nearer than a shingle similarity of 0.8. On planted copies the rule itself links 2 % of the pairs at a Jaccard
+    similarity of about 0.8, 15 % at 0.9 and 45 % at 0.95 (README).
+    """
     return simhash.keep_one_each(docs)
 
 
