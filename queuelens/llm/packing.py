@@ -4,8 +4,9 @@ Documents are tokenized, ended by one id, and only those longer than a sequence
 dealt by hash to groups of a fixed size, so groups grow in number, not in size. A group starts
 from best fit decreasing; then, from the fullest underfull sequence on, a document of an emptier
 sequence moves in, or is exchanged for one or two documents, so that the fuller one becomes as full as
-possible. Every exchange increases the sum of squared fills; sequences that empty are dropped. What
-stays underfull in all groups is dealt once more, until a round saves nothing.
+possible. Every exchange increases the sum of squared fills, so the search ends; sequences that empty are
+dropped. What stays underfull in all groups is dealt once more, until a round saves no sequence; that
+round is not used.
 
 Edge cases: NULL and empty texts are the end id alone; NULL and repeated ids are ordinary documents;
 an empty table gives an empty result; further columns are ignored.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -107,12 +109,12 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: list[int], capacity: int, sweeps: int = 6) -> list[list[int]]:
+def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
     """Exchanges between underfull bins, each increasing the squared fill, until none is left or bins are as few as can be."""
     least = -(-sum(sizes) // capacity)
     fill = [sum(sizes[i] for i in b) for b in bins]
     home = {i: b for b, items in enumerate(bins) for i in items}
-    for _ in range(sweeps):
+    while True:
         open_bins = [b for b in range(len(bins)) if 0 < fill[b] < capacity]
         if sum(f > 0 for f in fill) <= least or len(open_bins) < 2:
             break
@@ -219,27 +221,31 @@ def pack_group(capacity: int):
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, group: int = GROUP,
-         keep_ids: bool = False, rounds: int = 3) -> DataFrame:
+         keep_ids: bool = False) -> DataFrame:
     """Each piece with sequence_id and offset: pieces of one sequence_id fill it gaplessly from 0."""
     cut = materialize(pieces(docs, tokenizer, capacity, end_id, keep_ids), "pack-pieces")
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields)
     shape += ", group bigint, sequence bigint, offset bigint, fill bigint"
-    left, done = cut, []
-    for number in range(1, rounds + 1):
+    left, done, open_ones, before = cut, [], None, None
+    for number in itertools.count(1):
         n = left.count()
         groups = max(1, -(-n // group))
         dealt = left.withColumn("group", F.pmod(F.xxhash64(F.lit(number), "deal"), F.lit(groups)))
         packed = materialize(dealt.groupBy("group").applyInArrow(pack_group(capacity), shape), "pack-round")
         # A sequence's number: the round, the group, its place there.
         packed = packed.withColumn("sequence_id", F.col("sequence") + (F.col("group") + F.lit(number) * (1 << 31)) * (1 << 20))
-        last = groups == 1 or number == rounds
-        open_ones = packed.where(F.col("fill") < capacity)
-        if not last:
-            figures = open_ones.agg(F.countDistinct("sequence_id").alias("now"), F.sum("length").alias("ids")).first()
-            last = not figures.now or figures.now == -(-figures.ids // capacity)
-        done.append(packed if last else packed.where(F.col("fill") == capacity))
-        if last:
+        first, underfull = F.col("offset") == 0, F.col("fill") < capacity
+        figures = packed.agg(
+            F.count_if(first).alias("all"), F.count_if(first & underfull).alias("open"), F.sum(F.when(underfull, F.col("length"))).alias("ids")
+        ).first()
+        if before is not None and figures["all"] >= before:
+            done.append(open_ones)
             break
+        if groups == 1 or not figures.open or figures.open == -(-figures.ids // capacity):
+            done.append(packed)
+            break
+        done.append(packed.where(~underfull))
+        open_ones, before = packed.where(underfull), figures.open
         left = open_ones.select(*cut.columns)
     out = functools.reduce(DataFrame.unionByName, done)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * keep_ids)

@@ -103,6 +103,14 @@ def test_packing_in_small_groups(spark, sf):
     assert [i for r in own for i in r.ids] == [*encode(docs[0][1]).tolist(), 0]
 
 
+def test_packing_deals_again_while_that_saves(spark):
+    # Two fill a sequence, but a group holds about four pieces, so the last partners meet after the third round.
+    docs = [(i, " a" * (n - 1)) for i, n in enumerate([24, 40] * 400)]
+    rows = packing.pack(docs_of(spark, [(*d, "en", "s") for d in docs]), TOKENIZER, capacity=64, group=4).collect()
+    bins, least = check_packing(rows, docs, 64)
+    assert bins <= least + 4
+
+
 def test_local_search_raises_squares_and_saves_bins():
     rng = np.random.default_rng(1)
     for _ in range(20):
