@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from queuelens.llm import embed_dedup, exact_dedup, langid, line_dedup, mixing, packing, quality, sharding, simhash, url_filters
+from queuelens.session import scratch_path
 
 QUERIES, ORACLES = {}, {}
 
@@ -121,7 +122,7 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op9_sharding")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
-    placed = sharding.shard_documents(table(spark, sf, "documents"), SHARDS)
+    placed = sharding.shard_documents(table(spark, sf, "documents"), SHARDS, map_path=scratch_path(spark, "shard-map"))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",

@@ -175,9 +175,10 @@ def place(records: DataFrame, slot_map: SlotMap, bucket_rows: int = BUCKET_ROWS)
 
 
 def shard_documents(docs: DataFrame, shards: int, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
-    """Every document's shard and place under a first map, which is stored at `map_path` if that is given."""
+    """Every document's shard and place under a first map; if `map_path` is given, it is stored there and read back."""
     records = materialize(record_sizes(docs), "shard-records")
     slot_map = plan_map(records, shards, slots)
     if map_path:
         save_map(docs.sparkSession, slot_map, map_path)
+        slot_map = load_map(docs.sparkSession, map_path, slot_map.version)
     return place(records, slot_map)

@@ -317,6 +317,20 @@ def test_map_versions(spark, tmp_path):
         sharding.save_map(spark, one, str(tmp_path / "maps"))
 
 
+def test_sharding_query_stores_its_map(spark, sf):
+    from pathlib import Path
+
+    from queuelens.session import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"), "queuelens")
+    stored = lambda: set(folder.glob("shard-map-*"))
+    before = stored()
+    rows = QUERIES["op9_sharding"](spark, sf).collect()
+    (path,) = stored() - before
+    found = sharding.load_map(spark, str(path))
+    assert found.version == 1 and all(found.shard[r.virtual_slot] == r.shard for r in rows)
+
+
 # --- SQL and pipeline
 
 
