@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import heapq
 import itertools
+import re
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -26,6 +27,11 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces of one group; more find better partners and take longer in one task.
 GROUP = 4096
+#: White-space runs of so many characters are encoded on their own: the pattern's look-ahead keeps a state for each
+#: character of a run, and gives up beyond some hundred thousand.
+LONG_RUN = 10_000
+#: Unicode's white space, as the pattern's \s has it (Python's own \s takes four control characters more).
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 @functools.lru_cache(maxsize=2)
@@ -42,7 +48,22 @@ def encoder(path: str):
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: np.asarray(own.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
+        one = tiktoken.Encoding("run", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        long_run = re.compile(f"[{SPACE}]{{{LONG_RUN},}}")
+
+        def ids(encoding, text):
+            return np.asarray(encoding.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
+
+        def encode(text):
+            parts, at = [], 0
+            for run in long_run.finditer(text):
+                # The pattern leaves a run's last character to the word behind it.
+                end = run.end() - (run.end() < len(text))
+                parts += [ids(own, text[at : run.start()]), ids(one, text[run.start() : end])]
+                at = end
+            return np.concatenate([*parts, ids(own, text[at:])]) if parts else ids(own, text)
+
+        return encode
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)

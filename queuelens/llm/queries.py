@@ -5,13 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from queuelens.llm import embed_dedup, exact_dedup, langid, line_dedup, mixing, packing, quality, sharding, simhash, url_filters
+from queuelens.llm import alignment, divergence, embed_dedup, exact_dedup, langid, line_dedup, mixing, packing, pitman_yor, quality, sharding, simhash, url_filters
 from queuelens.session import scratch_path
 
 QUERIES, ORACLES = {}, {}
 
 #: The rank file of the vocabulary of byte_bpe_50k.json: the same ids, several times as fast.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 SHARDS = 24
 
 
@@ -134,3 +135,51 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+@query("op11_source_divergence", """
+WITH rows AS (
+  SELECT row_number() OVER () AS uid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents
+), words AS (
+  SELECT uid, lang, source, unnest(terms) AS term FROM rows
+), kept AS (
+  SELECT lang, term, count(*) AS lang_n FROM words GROUP BY lang, term HAVING count(DISTINCT uid) >= 3
+), langs AS (
+  SELECT lang, count(*) AS v, sum(lang_n) AS total FROM kept GROUP BY lang
+), cells AS (
+  SELECT g.lang, g.source, k.term, k.lang_n, coalesce(c.n, 0) AS n,
+    sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total, l.total AS lang_total, l.v
+  FROM (SELECT DISTINCT lang, source FROM rows) g JOIN kept k USING (lang) JOIN langs l USING (lang)
+  LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL) c USING (lang, source, term)
+), shares AS (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (total + v)::HUGEINT AS p,
+    1 + (1000000000::HUGEINT * (lang_n + 1)) // (lang_total + v)::HUGEINT AS q FROM cells
+), pairs AS (
+  SELECT lang, source, 'pair' AS part, item, coalesce(value, 0) AS value
+  FROM (SELECT DISTINCT a.lang, a.source, b.source AS item FROM rows a JOIN rows b ON a.lang = b.lang AND a.source <> b.source)
+  LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  ) USING (lang, source, item)
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf, "documents"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.align(table(spark, sf, "documents"), TOKENIZER, PIECES)
+
+
+@query("op12_lm_scoring")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return pitman_yor.score_corpus(table(spark, sf, "documents"))
