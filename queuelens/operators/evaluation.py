@@ -59,3 +59,21 @@ def best_model(metrics: DataFrame, split: str = "val") -> DataFrame:
         ranked["model"].alias("best_single"),
         ranked["mae"].alias("best_single_mae"),
     )
+
+
+def best_rounds(losses: DataFrame, patience: int) -> DataFrame:
+    """(model, rounds, best_round, best_loss) from (model, round, loss): where boosting ends, and what it keeps.
+
+    It ends at the first round that is `patience` rounds behind the best so far, and keeps the best (the earliest of equals);
+    what comes after the end plays no part. One row per round and model.
+    """
+    before = Window.partitionBy("model").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("model").orderBy("round").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lowest = F.min("loss").over(before)
+    better = losses.withColumn("better", lowest.isNull() | (F.col("loss") < lowest))
+    last = better.withColumn("best", F.max(F.when(F.col("better"), F.col("round"))).over(so_far))
+    ended = F.min(F.when(F.col("round") - F.col("best") >= patience, F.col("round"))).over(Window.partitionBy("model"))
+    run = last.withColumn("ended", ended).where(F.col("ended").isNull() | (F.col("round") <= F.col("ended")))
+    return run.groupBy("model").agg(
+        F.max("round").alias("rounds"), F.max("best").alias("best_round"), F.min("loss").alias("best_loss")
+    )

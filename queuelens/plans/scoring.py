@@ -9,7 +9,7 @@ from queuelens.operators.filters import serving_defaults, skip_invalid, valid_re
 from queuelens.operators.joins import score_distinct
 from queuelens.operators.reports import failed_rows, scored_rows, union_results
 from queuelens.plans import features
-from queuelens.plans.training import TrainedEnsemble, assemble, ensemble_predict, importance_map
+from queuelens.plans.training import TARGET, TrainedEnsemble, assemble, ensemble_predict, importance_map, with_targets
 from queuelens.schema import REQUEST_KEY
 
 OUTPUTS = [
@@ -24,9 +24,9 @@ def predict(df: DataFrame, trained: TrainedEnsemble, as_of: Column | None = None
     """Adds a prediction to every (valid) request row: one map-only plan plus state lookups."""
     keep = list(df.columns)
     state = trained.state
-    rows = features.transform(serving_defaults(df, as_of), state)
+    rows = with_targets(features.transform(serving_defaults(df, as_of), state), trained.targets)
     # The recipe fills a missing walltime; a request keeps what it was sent with.
-    scored = ensemble_predict(assemble(rows, state.features, keep=keep), trained.models, trained.weights)
+    scored = ensemble_predict(assemble(rows, state.features, keep=[*keep, TARGET]), trained.models, trained.weights)
     runtime = R.inverse_log(F.col("prediction"))
     lower, upper = R.band_20pct(F.col("predicted_runtime"))
     return scored.select(*keep, runtime.alias("predicted_runtime")).withColumns(

@@ -9,10 +9,10 @@ from datetime import datetime, timezone
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler, VectorIndexer, VectorSlicer
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from queuelens.operators import evaluation
+from queuelens.operators import evaluation, target_stats
 from queuelens.operators.filters import clean_jobs_fixed, log_target
 from queuelens.operators.splits import temporal_split
 from queuelens.plans import features
@@ -21,6 +21,9 @@ from queuelens.session import materialize
 METRICS = ["mae", "rmse", "r2", "mape"]
 #: Features whose numbers are codes without an order.
 NOMINAL = ("partition_encoded", "qos_encoded")
+#: The category without a code of its own; the categorical member reads its target statistic.
+TARGET = "user_target"
+ROUNDS_SCHEMA = "model string, round int, loss double"
 
 
 @dataclass(frozen=True)
@@ -35,8 +38,8 @@ class TrainingParams:
     max_bins: int = 256
     trees: int = 40
     forest_depth: int = 8
-    # Boosting stops at the first round that doesn't lower the validation error; MLlib has no patience.
-    validation_tol: float = 0.0
+    # Rounds that boosting goes on without a lower validation loss; the rounds after the best one are cut off.
+    patience: int = 50
     seed: int = 42
     use_log: bool = True
 
@@ -48,6 +51,8 @@ class TrainedEnsemble:
     metrics: DataFrame
     importance: DataFrame
     state: features.FeatureState
+    rounds: DataFrame | None = None
+    targets: DataFrame | None = None
     info: dict[str, str] = field(default_factory=dict)
 
     @property
@@ -73,12 +78,40 @@ def assemble(frame: DataFrame, columns: list[str], output: str = "features", kee
     return vector.transform(filled).drop(*[f"_f_{c}" for c in columns])
 
 
-def learning_frame(table: DataFrame, state: features.FeatureState, use_log: bool = True) -> DataFrame:
-    """(job_id, split, label, is_validation, features) of the training and validation rows."""
+def fit_targets(train: DataFrame, use_log: bool = True) -> DataFrame:
+    """(column, value, n, total, prior): what the training rows' labels say of each user."""
+    label = F.col("label")
+    rows = log_target(train, use_log=use_log)
+    prior = target_stats.prior_label(rows, label)
+    return materialize(target_stats.category_totals(rows, ["user"], label).withColumn("prior", F.lit(prior)), "targets")
+
+
+def prior_of(targets: DataFrame) -> float:
+    row = targets.select("prior").first()
+    return row["prior"] if row else 0.0
+
+
+def with_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """Adds the fitted target statistics; rows without the column have the prior."""
+    if "user" not in rows.columns:
+        return rows.withColumn(TARGET, F.lit(prior_of(targets)))
+    return target_stats.looked_up_statistics(rows, targets, "user", prior_of(targets))
+
+
+def learning_frame(table: DataFrame, state: features.FeatureState, use_log: bool = True, targets: DataFrame | None = None) -> DataFrame:
+    """(job_id, split, label, is_validation, features) of the training and validation rows.
+
+    With `targets` also the user's target statistic: of training rows from the rows before alone, of the others as fitted.
+    """
     known = table.where(F.col("split").isin("train", "val"))
+    keep = ["job_id", "split", "label", "is_validation"]
     rows = log_target(features.transform(known, state), use_log=use_log)
+    if targets is not None:
+        train = target_stats.ordered_statistics(rows.where(F.col("split") == "train"), "user", F.col("label"), prior_of(targets))
+        rows = train.unionByName(with_targets(rows.where(F.col("split") == "val"), targets))
+        keep = [*keep, TARGET]
     rows = rows.withColumn("is_validation", F.col("split") == "val")
-    return assemble(rows, state.features, keep=["job_id", "split", "label", "is_validation"])
+    return assemble(rows, state.features, keep=keep)
 
 
 def boosted_trees(p: TrainingParams, state: features.FeatureState) -> Pipeline:
@@ -101,7 +134,8 @@ def forest(p: TrainingParams, state: features.FeatureState) -> Pipeline:
 def categorical_trees(p: TrainingParams, state: features.FeatureState) -> Pipeline:
     """Boosted trees on absolute error that treat the encoded columns, and no others, as categories.
 
-    Room for categories follows the fitted dictionaries, so none turns into a number as it grows.
+    Room for categories follows the fitted dictionaries, so none turns into a number as it grows. Users are too many
+    for that; they come as an ordered target statistic.
     """
     columns = state.features
     codes = [i for i, c in enumerate(columns) if c in NOMINAL]
@@ -113,7 +147,7 @@ def categorical_trees(p: TrainingParams, state: features.FeatureState) -> Pipeli
         VectorSlicer(inputCol="features", outputCol="plain", indices=plain),
         VectorSlicer(inputCol="features", outputCol="codes", indices=codes),
         VectorIndexer(inputCol="codes", outputCol="categories", maxCategories=values, handleInvalid="keep"),
-        VectorAssembler(inputCols=["plain", "categories"], outputCol="indexed", handleInvalid="keep"),
+        VectorAssembler(inputCols=["plain", "categories", TARGET], outputCol="indexed", handleInvalid="keep"),
     ]
     return Pipeline(stages=[*stages, _boosting(replace(p, max_bins=max(p.max_bins, values + 1)), "indexed", "absolute")])
 
@@ -122,17 +156,36 @@ def input_columns(model: PipelineModel, columns: list[str]) -> list[str]:
     """The feature names in the order in which the model's trees number them."""
     if len(model.stages) == 1:
         return columns
-    return [c for c in columns if c not in NOMINAL] + [c for c in columns if c in NOMINAL]
+    return [*[c for c in columns if c not in NOMINAL], *[c for c in columns if c in NOMINAL], TARGET]
 
 
 def _boosting(p: TrainingParams, columns: str, loss: str) -> GBTRegressor:
     return GBTRegressor(
         featuresCol=columns, labelCol="label", predictionCol="prediction", lossType=loss, maxIter=p.max_iter,
-        maxDepth=p.max_depth, stepSize=p.step_size, subsamplingRate=p.subsampling, maxBins=p.max_bins,
-        validationIndicatorCol="is_validation", validationTol=p.validation_tol, seed=p.seed, cacheNodeIds=True,
+        maxDepth=p.max_depth, stepSize=p.step_size, subsamplingRate=p.subsampling, maxBins=p.max_bins, seed=p.seed, cacheNodeIds=True,
     )
 
 
+def first_trees(spark: SparkSession, model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The boosted model after its first `n` rounds."""
+    java, gateway = model._java_obj, spark.sparkContext._gateway
+    ml = gateway.jvm.org.apache.spark.ml
+    trees, weights = list(java.trees())[:n], list(java.treeWeights())[:n]
+    kept, shares = gateway.new_array(ml.regression.DecisionTreeRegressionModel, n), gateway.new_array(gateway.jvm.double, n)
+    for i in range(n):
+        kept[i], shares[i] = trees[i], weights[i]
+    cut = GBTRegressionModel(ml.regression.GBTRegressionModel(java.uid(), kept, shares, java.numFeatures()))
+    return cut.setFeaturesCol(model.getFeaturesCol()).setPredictionCol(model.getPredictionCol())
+
+
+def staged_losses(name: str, model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """(model, round, loss) of every prefix of the member's trees over `rows`, from one pass over them."""
+    boosted = model.stages[-1]
+    ready = PipelineModel(model.stages[:-1]).transform(rows) if len(model.stages) > 1 else rows
+    losses = boosted.evaluateEachIteration(ready, boosted.getLossType())
+    return rows.sparkSession.createDataFrame([(name, i + 1, float(x)) for i, x in enumerate(losses)], ROUNDS_SCHEMA)
+
+
 MEMBERS: dict[str, Callable[[TrainingParams, features.FeatureState], Pipeline]] = {
     "boosted": boosted_trees,
     "forest": forest,
@@ -140,10 +193,21 @@ MEMBERS: dict[str, Callable[[TrainingParams, features.FeatureState], Pipeline]]
 }
 
 
-def train_member(name: str, frame: DataFrame, p: TrainingParams, state: features.FeatureState) -> PipelineModel:
-    """Fits one member; members without early stopping learn from the training rows only."""
-    rows = frame if name != "forest" else frame.where(~F.col("is_validation"))
-    return MEMBERS[name](p, state).fit(rows)
+def train_member(
+    name: str, frame: DataFrame, p: TrainingParams, state: features.FeatureState
+) -> tuple[PipelineModel, DataFrame | None]:
+    """Fits one member on the training rows: the model, and for boosted members the loss of every round.
+
+    All rounds are fitted; the validation rows then tell where patience would have run out, and the trees behind the best
+    round before that are cut off. Without validation rows all stay.
+    """
+    model = MEMBERS[name](p, state).fit(frame.where(~F.col("is_validation")))
+    boosted, checked = model.stages[-1], frame.where("is_validation")
+    if not isinstance(boosted, GBTRegressionModel) or checked.isEmpty():
+        return model, None
+    losses = staged_losses(name, model, checked)
+    kept = evaluation.best_rounds(losses, p.patience).first()["best_round"]
+    return PipelineModel([*model.stages[:-1], first_trees(frame.sparkSession, boosted, kept)]), losses
 
 
 def member_predictions(frame: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
@@ -203,9 +267,14 @@ def train_all(table: DataFrame, params: TrainingParams | None = None, state: fea
     """Fits the features and every member, and weighs the members by validation error."""
     p = params or TrainingParams()
     state = state or features.fit(table.where(F.col("split") == "train"))
-    frame = learning_frame(table, state, p.use_log).persist(StorageLevel.MEMORY_AND_DISK)
+    targets = fit_targets(table.where(F.col("split") == "train"), p.use_log)
+    frame = learning_frame(table, state, p.use_log, targets).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        models = {name: train_member(name, frame, p, state) for name in p.members}
+        fits = {name: train_member(name, frame, p, state) for name in p.members}
+        models = {name: model for name, (model, _) in fits.items()}
+        rounds = frame.sparkSession.createDataFrame([], ROUNDS_SCHEMA)
+        for _, losses in fits.values():
+            rounds = rounds if losses is None else rounds.union(losses)
         metrics = materialize(evaluation.regression_metrics(scored_long(frame, models)), "metrics")
         # One weight per member.
         weights = {r["model"]: r["weight"] for r in evaluation.ensemble_weights(metrics).collect()}
@@ -220,20 +289,20 @@ def train_all(table: DataFrame, params: TrainingParams | None = None, state: fea
         "version": "2.0", "model_type": "ensemble" if len(models) > 1 else p.members[0], "training_rows": str(table.count()),
         "training_date": datetime.now(timezone.utc).isoformat(timespec="seconds"),
     }
-    fitted = TrainedEnsemble(models, weights, metrics, importance, state, info)
-    tested = materialize(evaluation.regression_metrics(_test_scores(table, fitted, p.use_log)), "metrics-test")
+    fitted = TrainedEnsemble(models, weights, metrics, importance, state, rounds, targets, info)
+    tested = materialize(evaluation.regression_metrics(test_scores(table, fitted, p.use_log)), "metrics-test")
     return replace(fitted, metrics=metrics.unionByName(tested))
 
 
-def _test_scores(table: DataFrame, trained: TrainedEnsemble, use_log: bool) -> DataFrame:
+def test_scores(table: DataFrame, trained: TrainedEnsemble, use_log: bool = True) -> DataFrame:
     """(model, split, label, prediction) of the best model on the test rows."""
     rows = log_target(features.transform(table.where(F.col("split") == "test"), trained.state), use_log=use_log)
-    frame = assemble(rows, trained.state.features, keep=["job_id", "split", "label"])
+    frame = assemble(with_targets(rows, trained.targets), trained.state.features, keep=["job_id", "split", "label", TARGET])
     scored = ensemble_predict(frame, trained.models, trained.weights).withColumn("model", F.lit(trained.best))
     return scored.select("model", "split", "label", "prediction")
 
 
 def evaluate_test(table: DataFrame, trained: TrainedEnsemble, use_log: bool = True) -> DataFrame:
     """Metrics and error percentiles of the best model on the test rows."""
-    scored = _test_scores(table, trained, use_log)
+    scored = test_scores(table, trained, use_log)
     return evaluation.regression_metrics(scored).join(evaluation.error_percentiles(scored), "model")

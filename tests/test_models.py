@@ -34,7 +34,7 @@ def test_ensemble_beats_the_mean(spark, sf, ensemble):
 
 def test_importance_has_every_feature(ensemble):
     counts = {r["model"]: r["count"] for r in ensemble.importance.groupBy("model").count().collect()}
-    assert counts == {m: 44 for m in ensemble.models}
+    assert counts == {m: 44 + (m == "categorical") for m in ensemble.models}  # the user's target statistic
     assert training.top_features(ensemble.importance, "boosted").count() == 10
 
 
@@ -118,3 +118,82 @@ def test_answers_and_model_info_carry_the_service_fields(spark, sf, ensemble):
     info = store.model_info(spark, ensemble).first()
     assert info["training_date"] and info["test_mae"] > 0 and info["test_mape"] > 0 and info["validation_mae"] > 0
     assert set(info["tree_counts"]) == set(ensemble.models) and min(info["tree_counts"].values()) > 0
+
+
+# --- where boosting stops, and target statistics
+
+
+def test_best_round_with_a_loss_that_rises_and_falls_again(spark):
+    losses = {"a": [5, 4, 6, 6, 3, 7, 7, 7, 1], "b": [2, 2, 2, 2], "c": [9, 8, 7]}
+    rows = [(m, i + 1, float(x)) for m, values in losses.items() for i, x in enumerate(values)]
+    frame = spark.createDataFrame(rows, training.ROUNDS_SCHEMA)
+    got = {r["model"]: (r["rounds"], r["best_round"], r["best_loss"]) for r in evaluation.best_rounds(frame, 3).collect()}
+    # a: the rise after round 2 is outlasted, the last round's low comes after the end; b: the first of equals.
+    assert got == {"a": (8, 5, 3.0), "b": (4, 1, 2.0), "c": (3, 3, 7.0)}
+    assert evaluation.best_rounds(frame, 50).where("model = 'a'").first()["best_round"] == 9
+    assert evaluation.best_rounds(frame, 1).where("model = 'a'").first()["best_round"] == 2
+    assert evaluation.best_rounds(frame.limit(0), 3).count() == 0
+
+
+def test_members_keep_the_round_with_the_lowest_loss(spark, sf, ensemble):
+    rounds = ensemble.rounds.collect()
+    info = store.model_info(spark, ensemble).first()
+    for name in ("boosted", "categorical"):
+        curve = {r["round"]: r["loss"] for r in rounds if r["model"] == name}
+        assert len(curve) == training.TrainingParams().max_iter
+        best = min(curve, key=lambda i: (curve[i], i))
+        seen = evaluation.best_rounds(ensemble.rounds, 50).where(F.col("model") == name).first()["best_round"]
+        assert info["tree_counts"][name] == seen and (seen == best or best - seen > 50)
+
+
+def test_cut_models_predict_as_their_first_trees(spark, sf, ensemble):
+    frame = training.learning_frame(catalog.split_table(spark, sf), ensemble.state, targets=ensemble.targets)
+    p = training.TrainingParams(max_iter=6, patience=2)
+    model, losses = training.train_member("boosted", frame, p, ensemble.state)
+    short = training.MEMBERS["boosted"](training.TrainingParams(max_iter=4), ensemble.state).fit(frame.where(~F.col("is_validation")))
+    longer = training.MEMBERS["boosted"](training.TrainingParams(max_iter=6), ensemble.state).fit(frame.where(~F.col("is_validation")))
+    cut = training.first_trees(spark, longer.stages[-1], 4)
+    a, b = ([r["prediction"] for r in m.transform(frame).orderBy("job_id").collect()] for m in (short, cut))
+    assert a == b and losses.count() == 6 and model.stages[-1].getNumTrees <= 6
+    # Without validation rows nothing is cut.
+    whole, none = training.train_member("boosted", frame.where(~F.col("is_validation")), p, ensemble.state)
+    assert none is None and whole.stages[-1].getNumTrees == 6
+
+
+def test_target_statistics_of_a_user_with_half_of_the_rows(spark, job_rows):
+    from datetime import datetime, timedelta, timezone
+
+    import numpy as np
+
+    from queuelens.operators import target_stats
+
+    first, rng = datetime(2024, 1, 1, tzinfo=timezone.utc), np.random.default_rng(5)
+    rows = [
+        {"user": ("hot" if i % 2 else [None, "a", "b", "c"][int(rng.integers(4))]), "run_time": int(rng.integers(1, 9999)),
+         "submit_time": first + timedelta(seconds=int(rng.integers(0, 40_000)))} for i in range(400)
+    ]
+    rows[7]["submit_time"] = None
+    frame = job_rows(*rows).withColumn("label", F.log1p(F.col("run_time").cast("double")))
+    got = {r["job_id"]: r["user_target"] for r in target_stats.ordered_statistics(frame, "user", F.col("label"), 2.0).collect()}
+    units = [round(float(np.log1p(r["run_time"])) * 1e6) for r in rows]
+    for i, r in enumerate(rows):
+        seen = [units[j] for j, o in enumerate(rows)
+                if o["user"] == r["user"] and r["submit_time"] and o["submit_time"] and o["submit_time"] < r["submit_time"]]
+        assert got[i] == pytest.approx((sum(seen) / 1e6 + 2.0) / (len(seen) + 1))
+    totals = target_stats.category_totals(frame, ["user"], F.col("label"))
+    new = target_stats.looked_up_statistics(job_rows({"user": "hot"}, {"user": "new"}, {"user": None}), totals, "user", 2.0).collect()
+    hot, none = ([u for u, r in zip(units, rows) if r["user"] == name] for name in ("hot", None))
+    assert [r["user_target"] for r in sorted(new, key=lambda r: r["job_id"])] == pytest.approx(
+        [(sum(hot) / 1e6 + 2) / (len(hot) + 1), 2.0, (sum(none) / 1e6 + 2) / (len(none) + 1)]
+    )
+
+
+def test_categorical_member_reads_the_users_statistic(spark, job_rows):
+    from datetime import datetime, timedelta, timezone
+
+    first = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    jobs = job_rows(*[{"user": f"u{i % 60}", "run_time": 600 + 900 * (i % 60 % 2), "submit_time": first + timedelta(minutes=i)} for i in range(900)])
+    fitted = training.train_all(training.training_table(jobs), training.TrainingParams(members=("categorical",), max_iter=5))
+    ranks = {r["feature"]: r["importance"] for r in fitted.importance.collect()}
+    assert ranks[training.TARGET] > 0
+    assert fitted.targets.count() == 60
