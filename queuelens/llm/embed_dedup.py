@@ -13,11 +13,12 @@ sorted along one line, and each one's window is the span of rows it is compared
 counts in the first table where it shares a block, so that no pair counts twice. Blocks of more than
 `CHUNK` rows are compared as pairs of chunks in separate tasks.
 
-Equal vectors of one label collapse first and are counted, not paired.
+Equal vectors of one label collapse first and are counted, not paired. A distinct vector has a number of its own, stored with
+it, so ids that repeat, in one label or in several, connect nothing.
 
 Edge cases: vectors that are NULL, zero, or hold NULL or non-finite components, and those without a
 label or id, link with nothing; vectors of different lengths link with nothing; repeated rows link
-with each other; an empty table gives an empty result; further columns are ignored.
+with each other; of vectors that share an id, each is compared as any other, and a component is named by its smallest id; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -155,8 +156,8 @@ def near_duplicate_vectors(vectors: DataFrame, bound: float = 0.98, lines: int =
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding", "label", usable.alias("usable"))
     distinct = materialize(
         rows.where("usable").groupBy("label", "embedding")
-        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-        .withColumn("dim", F.size("embedding")),
+        .agg(F.min("vec_id").alias("lowest"), F.count("*").alias("copies"))
+        .withColumns({"dim": F.size("embedding"), "rep": F.monotonically_increasing_id()}),
         "embed-distinct",
     )
     # One figure for each label: the largest one sets how finely blocks are cut.
@@ -183,12 +184,16 @@ def near_duplicate_vectors(vectors: DataFrame, bound: float = 0.98, lines: int =
     )
     parts = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")), "embed")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    named = distinct.select("rep", "lowest").join(parts.withColumnRenamed("node", "rep"), "rep")
+    # A component is known by a vector's number until here; ids may repeat, so they only name it.
+    names = named.groupBy("component").agg(F.min("lowest").alias("name"))
     classes = (
-        distinct.select("label", "embedding", "rep", "copies")
+        distinct.select("label", "embedding", "rep", "lowest", "copies")
         .join(links, "rep", "left")
-        .join(parts.withColumnsRenamed({"node": "rep"}), "rep", "left")
+        .join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+        .join(names, "component", "left")
         .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                F.coalesce("component", "rep").alias("component_id"))
+                F.coalesce("name", "lowest").alias("component_id"))
     )
     alone = rows.where(~F.col("usable")).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     linked = rows.where("usable").join(classes, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
