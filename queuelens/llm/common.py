@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -101,3 +101,37 @@ def local_roots(n: int, left, right):
             root = jumped
         if (root == before).all():
             return root
+
+
+#: A run of documents whose words are numbered together: so many at most, and bytes unless one alone has more.
+RUN_DOCS, RUN_BYTES = 1 << 15, 1 << 25
+
+
+def runs(texts):
+    """Cuts a batch's texts (an Arrow column) into runs: (first row, texts as bytes with A-Z lower-cased; none for NULL)."""
+    at, held, size = 0, [], 0
+    for i, text in enumerate(texts):
+        text = (text.as_py() or "").encode().lower()  # bytes.lower() changes A-Z alone
+        if held and (len(held) == RUN_DOCS or size + len(text) > RUN_BYTES):
+            yield at, held
+            at, held, size = i, [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield at, held
+
+
+def numbered(texts: list[bytes], split: Callable[[bytes], list[bytes]]):
+    """(words, the word number of each token, each text's number of tokens) of one run."""
+    from collections import defaultdict
+
+    import numpy as np
+
+    numbers: dict[bytes, int] = defaultdict()
+    numbers.default_factory = numbers.__len__  # a new word takes the next number
+    codes, sizes = [], []
+    for text in texts:
+        tokens = split(text)
+        codes.append(np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens)))
+        sizes.append(len(tokens))
+    return list(numbers), np.concatenate(codes).astype(np.int64), np.array(sizes, np.int64)
