@@ -192,7 +192,8 @@ def test_categorical_member_reads_the_users_statistic(spark, job_rows):
     from datetime import datetime, timedelta, timezone
 
     first = datetime(2024, 1, 1, tzinfo=timezone.utc)
-    jobs = job_rows(*[{"user": f"u{i % 60}", "run_time": 600 + 900 * (i % 60 % 2), "submit_time": first + timedelta(minutes=i)} for i in range(900)])
+    jobs = job_rows(*[{"user": f"u{i % 60}", "run_time": 600 + 900 * (i % 60 % 2) + i * 37 % 101, "submit_time": first + timedelta(minutes=i)}
+                    for i in range(900)])
     fitted = training.train_all(training.training_table(jobs), training.TrainingParams(members=("categorical",), max_iter=5))
     ranks = {r["feature"]: r["importance"] for r in fitted.importance.collect()}
     assert ranks[training.TARGET] > 0
