@@ -4,8 +4,10 @@ A known word scores the logarithm of its frequency in each language. An unseen w
 its longest known character n-grams (with word ends marked), and where none is known to shorter ones,
 down to single characters. A document's language is the one with the highest sum over its words.
 
-The model is fitted on a bounded number of documents for each language (`PER_LANG`) and bounded in size
-(`MAX_CELLS` figures), so it can be sent to every task; prediction reads whole texts.
+The model is fitted on a bounded number of documents for each language (`PER_LANG`). Every language brings
+its own most frequent words and n-grams, at most `QUOTA` of each kind, so a language with few documents
+keeps its place beside full ones and the model grows with the number of languages alone. Counts that are
+equal are kept or left out together. Prediction reads whole texts.
 
 Edge cases: NULL text and text without a letter is `und` with score 0, as is everything if no row is
 labelled; equal scores go to the first language in order; repeated rows get equal rows; an empty
@@ -19,14 +21,14 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from queuelens.session import materialize
 
 #: Labelled documents of one language that the fit reads, about.
 PER_LANG = 3000
-#: Frequencies that a model holds at most: grams times languages.
-MAX_CELLS = 400_000
+#: Words, and n-grams, that one language brings into the model at most.
+QUOTA = 25_000
 LONGEST = 4
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -35,22 +37,33 @@ LETTERS = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class Model:
     langs: tuple[str, ...]
-    words: dict[str, int]  # row of `logs`
+    words: dict[str, int]  # row of `starts`
     grams: dict[str, int]
-    logs: object  # (rows, langs)
-    floor: object  # (langs,)
+    starts: object  # where a row's cells begin, and the last one's end
+    place: object  # language of each cell
+    gain: object  # what a cell's count adds to the floor
+    floor: object  # (2, langs): the score of a word, and of an n-gram, that a language lacks
+
+    def _gained(self, rows: list[int]):
+        import numpy as np
+
+        total = np.zeros(len(self.langs))
+        for at in rows:
+            cells = slice(self.starts[at], self.starts[at + 1])
+            total[self.place[cells]] += self.gain[cells]
+        return total / len(rows)
 
     def word(self, word: str):
         """The word's score in each language."""
         at = self.words.get(word)
         if at is not None:
-            return self.logs[at]
+            return self.floor[0] + self._gained([at])
         marked = f"<{word}>"
         for n in range(LONGEST, 0, -1):
             known = [g for i in range(len(marked) - n + 1) if (g := self.grams.get(marked[i : i + n])) is not None]
             if known:
-                return self.logs[known].mean(axis=0)
-        return self.floor
+                return self.floor[1] + self._gained(known)
+        return self.floor[1]
 
 
 def count_grams(batches):
@@ -76,38 +89,38 @@ def count_grams(batches):
         )
 
 
-def fit(labelled: DataFrame, per_lang: int = PER_LANG, max_cells: int = MAX_CELLS) -> Model:
+def fit(labelled: DataFrame, per_lang: int = PER_LANG, quota: int = QUOTA) -> Model:
     """Fits on (doc_id, text, lang): about `per_lang` documents of each language, chosen by a hash of the id."""
     import numpy as np
 
     usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
-    if not counts:
-        return Model((), {}, {}, np.zeros((0, 0)), np.zeros(0))
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_lang / n))]), F.col("lang"))
+    counts = materialize(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("documents")), "langid-counts")
     draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = usable.where(draw < share).select("lang", "text")
-    langs = tuple(sorted(counts))
+    sample = usable.join(counts, "lang").where(draw < F.lit(float(per_lang)) / F.col("documents")).select("lang", "text")
+    langs = tuple(sorted(r.lang for r in counts.select("lang").collect()))
     grams = sample.mapInArrow(count_grams, "lang string, kind int, gram string, n bigint")
     by_lang = materialize(grams.groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")), "langid-grams")
-    totals = {(r.lang, r.kind): r.n for r in by_lang.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
-    rows = by_lang.groupBy("kind", "gram").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("n"))
-    most = max(1, max_cells // len(langs) // 2)
-    place = {lang: i for i, lang in enumerate(langs)}
+    # From the most frequent down, as long as a language's quota holds all that are as frequent.
+    sizes = by_lang.groupBy("kind", "lang", "n").agg(F.count(F.lit(1)).alias("grams"))
+    so_far = F.sum("grams").over(Window.partitionBy("kind", "lang").orderBy(F.desc("n")))
+    cuts = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= quota).groupBy("kind", "lang").agg(F.min("n").alias("least"))
+    kept = by_lang.join(cuts, ["kind", "lang"]).where(F.col("n") >= F.col("least")).select("kind", "gram").distinct()
+    rows = by_lang.join(kept, ["kind", "gram"]).groupBy("kind", "gram").agg(
+        F.collect_list("lang").alias("langs"), F.collect_list("n").alias("n")
+    )
+    at = {lang: i for i, lang in enumerate(langs)}
     found: tuple[dict, dict] = ({}, {})
-    logs = []
-    for kind in (0, 1):
-        # Words seen once say little and are many.
-        kept = rows.where((F.col("kind") == kind) & (F.col("all") >= 2)).orderBy(F.desc("all"), "gram").limit(most)
-        base = np.log(np.array([totals.get((lang, kind), 0) + 1.0 for lang in langs]))
-        for r in kept.collect():
-            own = np.full(len(langs), 0.5)
-            for pair in r.n:
-                own[place[pair.lang]] += pair.n
-            found[kind][r.gram] = len(logs)
-            logs.append(np.log(own) - base)
-    floor = np.full(len(langs), math.log(0.5)) - np.log(np.array([totals.get((lang, 1), 0) + 1.0 for lang in langs]))
-    return Model(langs, found[0], found[1], np.array(logs).reshape(len(logs), len(langs)), floor)
+    starts, place, n = [0], [], []
+    for r in rows.collect():
+        found[r.kind][r.gram] = len(starts) - 1
+        place += [at[lang] for lang in r.langs]
+        n += r.n
+        starts.append(len(n))
+    totals = np.ones((2, len(langs)))
+    for r in by_lang.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect():
+        totals[r.kind, at[r.lang]] += r.n
+    gain = np.log(np.array(n, np.float64) + 0.5) - math.log(0.5)
+    return Model(langs, found[0], found[1], np.array(starts), np.array(place, np.int64), gain, math.log(0.5) - np.log(totals))
 
 
 def predictor(model: Model, cache: int = 200_000):

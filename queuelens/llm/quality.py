@@ -228,14 +228,19 @@ def fit_rows(x, y, rounds: int = ROUNDS, pair_rounds: int = PAIR_ROUNDS, pairs:
 
 
 def fit(measured: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Additive:
-    """Fits on about `max_rows` of the rows of `measured` that `labels` (doc_id, quality) marks."""
+    """Fits on about `max_rows` of the rows of `measured` that `labels` (doc_id, quality) marks.
+
+    Where marked ids repeat with many texts there may be more rows, about twice `max_rows` at most.
+    """
     import numpy as np
 
     marked = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
     n = marked.count()
-    draw = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = materialize(marked.where(draw < min(1.0, max_rows / max(n, 1))), "quality-labels")
+    draw = lambda *by: F.pmod(F.xxhash64(F.lit("quality"), *by), F.lit(1 << 30)) / float(1 << 30)
+    chosen = materialize(marked.where(draw("doc_id") < min(1.0, max_rows / max(n, 1))), "quality-labels")
     rows = measured.join(chosen, "doc_id").groupBy("doc_id", "text_hash").agg(F.first("figures").alias("figures"), F.first("good").alias("good"))
+    rows = materialize(rows, "quality-rows")
+    rows = rows.where(draw("doc_id", "text_hash") < min(1.0, 2 * max_rows / max(rows.count(), 1)))
     rows = sorted((r.doc_id, r.text_hash, r.figures, r.good) for r in rows.collect())
     x = np.array([r[2] for r in rows], dtype=np.float32).reshape(len(rows), len(FIGURES))
     return fit_rows(x, np.array([float(r[3]) for r in rows]))

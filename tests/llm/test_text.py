@@ -157,8 +157,38 @@ def test_language_odd_rows(spark):
     assert langid.identify(docs_of(spark, [])).count() == 0
 
 
+def test_languages_equal_a_plain_scorer(spark):
+    rng = np.random.default_rng(5)
+    letters = {lang: rng.permutation(list("abcdefghij"))[:6].tolist() for lang in ("aa", "bb", "cc")}
+    docs = []
+    for i in range(150):
+        lang = ("aa", "aa", "bb", "cc")[i % 4]
+        text = " ".join("".join(rng.choice(letters[lang], rng.integers(1, 5))) for _ in range(rng.integers(0, 25)))
+        docs.append((i, text, None if i % 13 == 0 else lang))
+    docs += [(500, None, "aa"), (501, "", "bb"), (None, "abc def", "cc"), (502, "zzz q", "aa"), (503, "7 !", None)]
+    for quota in (25_000, 40, 3):
+        got = {r.doc_id: r for r in langid.identify(docs_of(spark, [(*d, "s") for d in docs]), quota=quota).collect()}
+        for at, (lang, score) in brute.languages(docs, quota=quota).items():
+            row = got[docs[at][0]]
+            assert row.lang_pred == lang and np.isclose(row.score, score, atol=1e-9)
+
+
+def test_a_small_language_keeps_its_words_beside_many_full_ones(spark):
+    rng = np.random.default_rng(6)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:02}": ["".join(rng.choice(list(alphabet), 5)) for _ in range(30)] for k in range(60)}
+    docs = [(i, " ".join(rng.choice(words[f"l{i % 60:02}"], 40)), f"l{i % 60:02}", "s") for i in range(1200)]
+    small = ["".join(rng.choice(list(alphabet), 5)) for _ in range(10)]
+    docs += [(5000 + i, " ".join(small), "small", "s") for i in range(8)]
+    model = langid.fit(docs_of(spark, docs), quota=200)
+    assert set(small) <= set(model.words) and all(set(w) <= set(model.words) for w in words.values())
+    predict = langid.predictor(model)
+    assert all(predict(text)[0] == lang for _, text, lang, _ in docs)
+
+
 def test_backoff_uses_longer_grams_first():
-    model = langid.Model(("a", "b"), {"word": 0}, {"<xyz": 1, "x": 2}, np.array([[0.0, -9], [-1, -5], [-5, -1]]), np.array([-20.0, -20]))
+    starts, place, gain = np.array([0, 2, 4, 6]), np.array([0, 1] * 3), np.array([20.0, 11, 19, 15, 15, 19])
+    model = langid.Model(("a", "b"), {"word": 0}, {"<xyz": 1, "x": 2}, starts, place, gain, np.array([[-20.0, -20], [-20, -20]]))
     assert model.word("word").tolist() == [0, -9]
     assert model.word("xyzq").tolist() == [-1, -5]
     assert model.word("qx").tolist() == [-5, -1]
@@ -193,6 +223,16 @@ def test_additive_model_learns_a_pair():
     assert np.isclose(model.logit(row)[0], z)
 
 
+def test_quality_fit_is_bounded_where_marked_ids_repeat(spark, monkeypatch):
+    docs = docs_of(spark, [(i % 4, f"text {i} of some words", "en", "s") for i in range(400)])
+    seen = []
+    monkeypatch.setattr(quality, "fit_rows", lambda x, y: seen.append(len(y)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id bigint, quality int")
+    quality.fit(quality.with_figures(docs), labels, max_rows=20)
+    quality.fit(quality.with_figures(docs), labels, max_rows=1000)
+    assert 15 < seen[0] < 70 and seen[1] == 400
+
+
 def test_quality_odd_rows(spark):
     docs = docs_of(spark, ODD)
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 0), (3, 0), (4, None), (99, 1), (None, 1), (6, 7)], "doc_id bigint, quality int")
