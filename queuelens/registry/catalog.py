@@ -12,7 +12,8 @@ from queuelens.operators.filters import clean_jobs_fixed, valid_request
 from queuelens.operators.reports import failed_rows, scored_rows, union_results
 from queuelens.plans import features, training
 from queuelens.registry.ctes import CTES
-from queuelens.session import materialize
+from queuelens.session import materialize, scratch_path
+from queuelens.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,6 +93,11 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     return views.requests(spark, sf)
 
 
+def replayed(spark: SparkSession, sf: str, source: DataFrame, files: int) -> str:
+    """A folder with the events as files in event order, for streams."""
+    return _once(spark, sf, "replayed", lambda: readers.in_time_order(source, "ts", scratch_path(spark, "replayed"), files))
+
+
 def service_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Scoring requests with job-log column names; a missing walltime stays missing."""
     return views.job_requests_from_jobs(jobs(spark, sf)).withColumnsRenamed(

@@ -8,7 +8,7 @@ from queuelens import views
 from queuelens.functions import reports as R
 from queuelens.operators import aggregates, monitoring
 from queuelens.operators.filters import skip_invalid
-from queuelens.registry.catalog import out, query, requests, rounded, service_requests, state, trained
+from queuelens.registry.catalog import out, query, replayed, requests, rounded, service_requests, state, trained
 from queuelens.schema import LATENCY_BOUNDS
 from queuelens.session import scratch_path
 from queuelens.sources import readers, writers
@@ -167,12 +167,13 @@ def requests_per_minute(spark, sf):
     return out(found, found.columns)
 
 
-# --- streams: each reads the events table as a file stream and drains it -----------------------
+# --- streams: each replays the events in their order, two micro-batches or more, to the end -----
 
 
 def _event_stream(spark, sf):
-    schema = views.events(spark, sf).schema
-    return readers.stream_source(spark, f"{sf}/events.parquet", schema)
+    source, a_batch = views.events(spark, sf), spark.sparkContext.defaultParallelism
+    path = replayed(spark, sf, source, files=max(2 * a_batch, source.rdd.getNumPartitions()))
+    return readers.stream_source(spark, path, source.schema, files_per_trigger=a_batch)
 
 
 def _request_stream(spark, sf):
@@ -203,6 +204,14 @@ def stream_sink(spark, sf):
     return _drained(spark, valid, "stream-valid")
 
 
+@query("stream_ledger_sink", "SELECT request_id, processors_req, nodes_req, mem_req FROM service_requests WHERE valid")
+def stream_ledger_sink(spark, sf):
+    valid = skip_invalid(_request_stream(spark, sf)).select("request_id", "processors_req", "nodes_req", "mem_req")
+    path, checkpoint = scratch_path(spark, "stream-ledger"), scratch_path(spark, "stream-ledger-checkpoint")
+    writers.ledger_sink(valid, path, checkpoint, "replay").awaitTermination()
+    return writers.read_ledgered(spark, path, valid.schema).select(*valid.columns)
+
+
 @query("stream_invalid_side_output", "SELECT request_id, batch_id, idx FROM service_requests WHERE NOT valid")
 def stream_invalid_side_output(spark, sf):
     bad = streams.stream_invalid(_request_stream(spark, sf)).select("request_id", "batch_id", "idx")

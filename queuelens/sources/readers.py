@@ -97,7 +97,8 @@ def stream_source(
 ) -> DataFrame:
     """A folder that receives request files (or one such file), as a stream.
 
-    `kind='kafka'` reads JSON messages from a topic instead.
+    Files come by modification time, `files_per_trigger` a micro-batch; `in_time_order` writes a folder whose
+    files are then in event order. `kind='kafka'` reads JSON messages from a topic instead.
     """
     reader = spark.readStream
     if kind == "kafka":
@@ -107,3 +108,28 @@ def stream_source(
         path, _, name = path.rpartition("/")
         reader = reader.option("pathGlobFilter", name)
     return reader.schema(schema).option("maxFilesPerTrigger", files_per_trigger).options(**options).format(kind).load(path)
+
+
+def in_time_order(df: DataFrame, time: str, path: str, files: int) -> str:
+    """Writes `df` as about `files` Parquet files that `stream_source` reads in the order of `time`.
+
+    Each file holds a range of times, and rows of one time share a file. A parallel write leaves modification
+    times in any order, so they are set afterwards, one call a file; a file system that doesn't keep them
+    is refused, as a watermark would drop rows there.
+    """
+    df.repartitionByRange(files, time).write.mode("errorifexists").parquet(path)
+    spark = df.sparkSession
+    parts = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/part-*")
+    system = parts.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def listed():
+        return sorted(system.globStatus(parts), key=lambda f: int(f.getPath().getName().split("-")[1]))
+
+    found = listed()
+    first = max((f.getModificationTime() for f in found), default=0)
+    for i, f in enumerate(found):
+        system.setTimes(f.getPath(), first + 10 * i, -1)
+    times = [f.getModificationTime() for f in listed()]
+    if any(later <= earlier for earlier, later in zip(times, times[1:])):
+        raise RuntimeError(f"the file system of {path} keeps no modification times, so files can't be put in order")
+    return path

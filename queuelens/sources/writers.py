@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from queuelens.sources.readers import scan_csv
@@ -56,6 +56,44 @@ def stream_sink(df: DataFrame, path: str, checkpoint: str, drain: bool = True) -
     return writer.start(path)
 
 
+def ledger_sink(df: DataFrame, path: str, checkpoint: str, run: str, kind: str = "parquet", drain: bool = True) -> StreamingQuery:
+    """Puts each micro-batch, exactly once, into a folder of `kind` that has no commit log of its own.
+
+    A batch overwrites its own folder, `rows/run=<run>/batch=<id>`, and is then entered in the ledger with its
+    row count. If a run fails anywhere in between, Spark gives it the same batch again: the same folder is
+    overwritten and the entry renewed. `read_ledgered` shows entered batches alone. `run` names the checkpoint:
+    batch ids begin again with a new one, which needs a name of its own.
+    """
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        target = f"{path}/rows/run={run}/batch={batch_id}"
+        batch.write.mode("overwrite").format(kind).save(target)
+        written = batch.sparkSession.read.schema(batch.schema).format(kind).load(target)
+        _enter(written.agg(F.count(F.lit(1)).alias("n_rows")), f"{path}/ledger/run={run}/batch={batch_id}")
+
+    writer = df.writeStream.foreachBatch(put).outputMode("append").option("checkpointLocation", checkpoint)
+    if drain:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def _enter(entry: DataFrame, path: str) -> None:
+    entry.withColumn("entered_at", F.current_timestamp()).write.mode("overwrite").parquet(path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """(run, batch, n_rows, entered_at): one row per batch that `ledger_sink` has finished."""
+    entries = spark.read.schema("n_rows bigint, entered_at timestamp, run string, batch bigint").parquet(f"{path}/ledger")
+    return entries.select("run", "batch", "n_rows", "entered_at")
+
+
+def read_ledgered(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parquet") -> DataFrame:
+    """The rows of the batches in the ledger, with their `run` and `batch`."""
+    placed = T.StructType([*schema.fields, T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())])
+    rows = spark.read.schema(placed).format(kind).load(f"{path}/rows")
+    return rows.join(read_ledger(spark, path).select("run", "batch"), ["run", "batch"], "left_semi")
+
+
 def dropped_late(query: StreamingQuery) -> int:
     """How many rows came later than the watermark, over the progress reports that Spark still holds.
 

@@ -1,5 +1,8 @@
+import os
 from datetime import datetime, timedelta, timezone
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from queuelens import views
@@ -78,6 +81,66 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert writers.dropped_late(running) >= 1
 
 
+def test_events_in_any_files_are_replayed_in_order(spark, tmp_path):
+    rows = [(_at(97 * i), ("Predict", "Health")[i % 2]) for i in range(700)] + [(_at(97 * 300), "Predict")] * 3
+    schema = "ts timestamp, method string"
+    whole, _ = _streamed(spark, tmp_path / "one", [rows], schema, streams.request_rate)
+    mixed = f"{tmp_path}/mixed"
+    spark.createDataFrame(rows, schema).repartition(70).write.parquet(mixed)
+    files = sorted(f for f in os.listdir(mixed) if f.startswith("part-"))
+    for i, f in enumerate(files):
+        os.utime(f"{mixed}/{f}", (1e9 + i * 7919 % 70, 1e9 + i * 7919 % 70))
+    assert len(files) > 64
+    source = spark.read.schema(schema).parquet(mixed)
+    path = readers.in_time_order(source, "ts", f"{tmp_path}/ordered", 6)
+    stream = streams.request_rate(readers.stream_source(spark, path, source.schema, files_per_trigger=2))
+    running = writers.stream_sink(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    running.awaitTermination()
+    found = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out")
+    assert sorted(found.collect()) == sorted(whole.collect()) and writers.dropped_late(running) == 0
+    assert sum(p.numInputRows > 0 for p in running.recentProgress) == 3
+
+
+def test_a_folder_of_no_rows_can_be_replayed(spark, tmp_path):
+    none = spark.createDataFrame([], "ts timestamp, method string")
+    path = readers.in_time_order(none, "ts", f"{tmp_path}/none", 4)
+    assert spark.read.schema(none.schema).parquet(path).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["parquet", "json"])
+@pytest.mark.parametrize("entered", [False, True])
+def test_a_batch_that_failed_before_its_commit_is_there_once(spark, tmp_path, monkeypatch, kind, entered):
+    source, enter, fails = f"{tmp_path}/in", writers._enter, [2]
+    for batch in range(3):
+        spark.range(batch * 10, batch * 10 + 10).coalesce(1).write.mode("append").parquet(source)
+
+    def failing(entry, path):
+        fails[0] -= 1
+        if entered or fails[0] != 0:
+            enter(entry, path)
+        if fails[0] == 0:
+            raise OSError("lost between write and commit")
+
+    def run(name="a"):
+        stream = readers.stream_source(spark, source, spark.range(0).schema, files_per_trigger=1)
+        query = writers.ledger_sink(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint-{name}", name, kind)
+        query.awaitTermination()
+
+    def rows():
+        return sorted(r["id"] for r in writers.read_ledgered(spark, f"{tmp_path}/out", spark.range(0).schema, kind).collect())
+
+    monkeypatch.setattr(writers, "_enter", failing)
+    with pytest.raises(StreamingQueryException):
+        run()
+    assert rows() == list(range(20 if entered else 10))
+    run()
+    assert rows() == list(range(30))
+    ledger = writers.read_ledger(spark, f"{tmp_path}/out").collect()
+    assert sorted((r["batch"], r["n_rows"]) for r in ledger) == [(0, 10), (1, 10), (2, 10)]
+    run("b")  # another checkpoint counts its batches from 0 again and overwrites none of the first run's
+    assert rows() == sorted([*range(30), *range(30)])
+
+
 def test_sliding_windows_hold_each_call_five_times(spark, tmp_path):
     rows = [(_at(30), "Predict"), (_at(3600), "Predict")]
     found, _ = _streamed(spark, tmp_path, [rows], "ts timestamp, method string", streams.sliding_rate)
