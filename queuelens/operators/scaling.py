@@ -19,22 +19,24 @@ def finite(value: Column) -> Column:
 
 
 def fit_scaler_params(
-    df: DataFrame, columns: Sequence[str], rows: int | None = None
+    df: DataFrame, columns: Sequence[str], rows: int | None = None, weight: str | None = None
 ) -> dict[str, tuple[float, float]]:
     """{column: (centre, scale)}, the quartiles taken after missing values became the median.
 
     The search also tells how many values each column holds. Only columns that hold fewer than
     there are rows (counted here unless given) need a second search, over the filled column.
-    Three numbers per column reach the driver.
+    Three numbers per column reach the driver. With `weight` a row stands for that many, and `rows` is their sum.
     """
-    rows = df.count() if rows is None else rows
-    values = df.select(*[finite(F.col(c)).alias(c) for c in columns])
-    first = exact_quantiles(values, {c: QUARTERS for c in columns}, counts_as="_found").first()
+    if rows is None:
+        rows = df.agg(F.sum(weight)).first()[0] if weight else df.count()
+    kept = [weight] if weight else []
+    values = df.select(*[finite(F.col(c)).alias(c) for c in columns], *kept)
+    first = exact_quantiles(values, {c: QUARTERS for c in columns}, weight=weight, counts_as="_found").first()
     quarters = {c: first[c] for c in columns}
     refit = [c for c, n in zip(columns, first["_found"]) if 0 < n < rows]
     if refit:
-        filled = values.select(*[F.coalesce(F.col(c), F.lit(quarters[c][1])).alias(c) for c in refit])
-        again = exact_quantiles(filled, {c: QUARTERS for c in refit}).first()
+        filled = values.select(*[F.coalesce(F.col(c), F.lit(quarters[c][1])).alias(c) for c in refit], *kept)
+        again = exact_quantiles(filled, {c: QUARTERS for c in refit}, weight=weight).first()
         quarters |= {c: again[c] for c in refit}
     params = {}
     for c, (q25, q50, q75) in quarters.items():

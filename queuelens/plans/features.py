@@ -105,17 +105,18 @@ def _unscaled(df: DataFrame, state: FeatureState) -> DataFrame:
     return _with_history(rows, state) if state.advanced else rows
 
 
-def fit_thresholds(df: DataFrame) -> DataFrame:
-    """The fitted cuts of a training frame as one lazy row."""
+def fit_thresholds(df: DataFrame, weight: str | None = None) -> DataFrame:
+    """The fitted cuts of a training frame as one lazy row; with `weight` a row stands for that many."""
     procs, nodes, mem = F.col("processors_req"), F.col("nodes_req"), F.col("mem_req")
     sized = df.select(
         "wallclock_req",
         res.memory_per_cpu(mem, procs).alias("memory_per_cpu"),
         res.total_compute_units(procs, nodes).alias("total_compute_units"),
         res.cpu_memory_ratio(procs, mem).alias("cpu_memory_ratio"),
+        *([weight] if weight else []),
     )
     wanted = {"wallclock_req": [0.5], "memory_per_cpu": [0.75], "total_compute_units": [0.9], "cpu_memory_ratio": [0.5]}
-    found = exact_quantiles(sized, wanted)
+    found = exact_quantiles(sized, wanted, weight=weight)
     return found.select(
         F.col("wallclock_req")[0].alias("wallclock_median"),
         F.col("memory_per_cpu")[0].alias("mem_per_cpu_q75"),

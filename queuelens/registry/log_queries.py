@@ -7,9 +7,9 @@ from pyspark.sql import functions as F, types as T
 from queuelens import views
 from queuelens.operators import aggregates, filters, reports, splits
 from queuelens.operators.nested import flatten_request, nest_request
-from queuelens.plans import scoring
+from queuelens.plans import partials, scoring
 from queuelens.registry.catalog import (
-    clean, jobs, out, query, rounded, sample_results, service_requests, split_table, state, trained,
+    clean, jobs, out, query, rounded, sample_results, service_requests, split_table, state, train_rows, trained,
 )
 from queuelens.schema import JOB_SCHEMA, REQUEST_SCHEMA
 from queuelens.session import scratch_path
@@ -116,6 +116,26 @@ def save_load_features(spark, sf):
     return rounded(splits.concat(rows), "total")
 
 
+@query(
+    "merge_feature_state",
+    """SELECT 'user' AS part, "user" AS entry, round(runtime_mean, 6) AS a, round(accuracy, 6) AS b FROM user_table WHERE "user" IS NOT NULL
+       UNION ALL SELECT 'queue', concat("partition", '/', submit_hour), job_count, NULL FROM queue_table WHERE "partition" IS NOT NULL
+       UNION ALL SELECT 'code', concat("column", '/', value), code, NULL FROM code_table
+       UNION ALL SELECT 'scaler', feature, round(center, 6), round(scale, 6) FROM scaler_params""",
+)
+def merge_feature_state(spark, sf):
+    """The state of all training days, each added on its own, as one table."""
+    path = partials.add_slices(train_rows(spark, sf), scratch_path(spark, "state-slices"))
+    merged = partials.merged_state(spark, path)
+    rows = [
+        merged.users.select(F.lit("user").alias("part"), F.col("user").alias("entry"), F.col("runtime_mean").alias("a"), F.col("accuracy").alias("b")),
+        merged.queues.selectExpr("'queue' AS part", "concat(`partition`, '/', submit_hour) AS entry", "job_count AS a", "NULL AS b"),
+        merged.codes.selectExpr("'code' AS part", "concat(column, '/', value) AS entry", "code AS a", "NULL AS b"),
+        state_store.scaler_table(spark, merged).selectExpr("'scaler' AS part", "feature AS entry", "center AS a", "scale AS b"),
+    ]
+    return rounded(splits.concat([r.withColumns({c: F.col(c).cast("double") for c in "ab"}) for r in rows]), "a", "b")
+
+
 @query("save_load_models")
 def save_load_models(spark, sf):
     path = model_store.save_models(spark, trained(spark, sf), scratch_path(spark, "model"))

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from queuelens.operators.scaling import fit_scaler_params
-from queuelens.plans import features
+from queuelens.plans import features, partials
 from queuelens.registry import catalog
 from queuelens.schema import MODEL_FEATURES
 from queuelens.sources import state as store
@@ -85,3 +85,40 @@ def test_stats_table(spark, sf):
     state = features.fit(catalog.train_rows(spark, sf), with_stats=True)
     names = {r["feature"] for r in state.stats.collect()}
     assert names == set(MODEL_FEATURES)
+
+
+def _same_state(got, want):
+    assert got.thresholds == pytest.approx(want.thresholds, rel=1e-9)
+    assert list(got.scaler) == list(want.scaler)
+    for c, params in want.scaler.items():
+        assert got.scaler[c] == pytest.approx(params, rel=1e-9, abs=1e-9), c
+    for table, keys in (("users", 1), ("queues", 2), ("codes", 2)):
+        mine, theirs = getattr(got, table), getattr(want, table)
+        rows = {tuple(r)[:keys]: tuple(r)[keys:] for r in mine.select(*theirs.columns).collect()}
+        assert rows.keys() == {tuple(r)[:keys] for r in theirs.collect()}
+        for r in theirs.collect():
+            assert rows[tuple(r)[:keys]] == pytest.approx(tuple(r)[keys:], rel=1e-9)
+
+
+def test_slices_added_one_after_the_other_equal_a_whole_fit(spark, sf, fitted, tmp_path):
+    train, day = catalog.train_rows(spark, sf), F.to_date("submit_time")
+    cuts = [r[0] for r in train.select(day.alias("d")).distinct().orderBy("d").collect()]
+    early, late = train.where(day < cuts[len(cuts) // 2]), train.where(day >= cuts[len(cuts) // 2])
+    path = str(tmp_path / "state")
+    partials.add_slices(early, path)
+    partials.add_slices(late, path)
+    partials.add_slices(late, path)  # a slice that comes again replaces itself
+    _same_state(partials.merged_state(spark, path), fitted)
+    days = [str(c) for c in cuts[: len(cuts) // 2]]
+    _same_state(partials.merged_state(spark, path, days), features.fit(early))
+
+
+def test_slices_with_missing_values_equal_a_whole_fit(job_rows, tmp_path):
+    rows = [
+        {"user": ("hot", None, "b")[i % 3], "wallclock_req": None if i % 4 == 0 else 100.0 * (i % 7), "mem_req": None if i % 5 == 0 else 1.5 * i,
+         "run_time": None if i % 6 == 5 else 60 * i, "partition": None if i % 9 == 0 else "gpu", "name": None if i % 8 == 0 else f"run_{i}"}
+        for i in range(60)
+    ]
+    df = job_rows(*rows)
+    path = partials.add_slices(df, str(tmp_path / "state"), F.coalesce("user", F.lit("none")))
+    _same_state(partials.merged_state(df.sparkSession, path), features.fit(df))
