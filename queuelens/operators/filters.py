@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from queuelens.operators.quantiles import exact_quantiles
 from queuelens.operators.scalars import only_row, unpivot_row
@@ -230,19 +230,25 @@ def clean_jobs(
     return completed_only(trim_percentile(sane_jobs(df, low, high), q_processors, q_memory))
 
 
-def clean_jobs_fixed(df: DataFrame, low: int = MIN_RUNTIME, high: int = MAX_RUNTIME) -> DataFrame:
-    """The same rows, with the trimming cuts looked up now and set as constants.
+def fixed_cuts(df: DataFrame, low: int = MIN_RUNTIME, high: int = MAX_RUNTIME) -> dict[str, Column]:
+    """The trimming cuts of a log, looked up now and set as constants; 0 where no row has a finite request, so that none is kept."""
+    cut = trim_thresholds(sane_jobs(df, low, high)).first()
+    return {name: F.lit(0.0 if cut[name] is None else cut[name]) for name in ("max_processors", "max_mem")}
+
+
+def clean_jobs_fixed(
+    df: DataFrame, low: int = MIN_RUNTIME, high: int = MAX_RUNTIME, cuts: dict[str, Column] | None = None
+) -> DataFrame:
+    """The same rows, with the trimming cuts looked up now (or given) and set as constants.
 
     For a caller that reads the result several times: every read is then a plain filtered scan.
     """
-    sane = sane_jobs(df, low, high)
-    cut = trim_thresholds(sane).first()
-    return completed_only(_trim(sane, F.lit(cut["max_processors"]), F.lit(cut["max_mem"])))
+    cuts = cuts or fixed_cuts(df, low, high)
+    return completed_only(_trim(sane_jobs(df, low, high), cuts["max_processors"], cuts["max_mem"]))
 
 
-def clean_funnel(df: DataFrame, low: int = MIN_RUNTIME, high: int = MAX_RUNTIME) -> DataFrame:
-    """Rows left after each cleaning stage, counted in one pass."""
-    cut = only_row(trim_thresholds(sane_jobs(df, low, high)))
+def _funnel_counts(df: DataFrame, low: int, high: int, cut) -> dict[str, Column]:
+    """How many rows each cleaning stage leaves, as aggregates by the stage's name."""
     stages = {
         "input": F.lit(True),
         "positive_runtime": F.col("run_time") > 0,
@@ -252,12 +258,37 @@ def clean_funnel(df: DataFrame, low: int = MIN_RUNTIME, high: int = MAX_RUNTIME)
     }
     if "state" in df.columns:
         stages["completed_only"] = F.col("state") == "COMPLETED"
-    passed, counts = F.lit(True), []
+    passed, counts = F.lit(True), {}
     for name, rule in stages.items():
         passed = passed & rule
-        counts.append(F.count_if(passed).alias(name))
-    parts = {name: [F.lit(i), F.col(name)] for i, name in enumerate(stages)}
-    return unpivot_row(df.agg(*counts), "stage", parts, ["position", "rows_kept"])
+        counts[name] = F.count_if(passed).alias(name)
+    return counts
+
+
+def clean_funnel(df: DataFrame, low: int = MIN_RUNTIME, high: int = MAX_RUNTIME) -> DataFrame:
+    """Rows left after each cleaning stage, counted in one pass."""
+    counts = _funnel_counts(df, low, high, only_row(trim_thresholds(sane_jobs(df, low, high))))
+    parts = {name: [F.lit(i), F.col(name)] for i, name in enumerate(counts)}
+    return unpivot_row(df.agg(*counts.values()), "stage", parts, ["position", "rows_kept"])
+
+
+def observed_clean(
+    df: DataFrame, cuts: dict[str, Column], low: int = MIN_RUNTIME, high: int = MAX_RUNTIME
+) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """The cleaned rows, and a function for the funnel (stage, position, rows_kept).
+
+    The stages are counted by the first job that reads the rows to their end, usually the one that stores them; the
+    function waits for that job and costs no scan of its own. Spark observes nothing where a plan is empty from the start; that is 0.
+    """
+    counts, seen = _funnel_counts(df, low, high, cuts), Observation()
+    rows = clean_jobs_fixed(df.observe(seen, *counts.values()), low, high, cuts)
+
+    def funnel() -> DataFrame:
+        found = {} if df.isEmpty() else seen.get
+        left = [(name, i, found.get(name, 0)) for i, name in enumerate(counts)]
+        return df.sparkSession.createDataFrame(left, "stage string, position int, rows_kept bigint")
+
+    return rows, funnel
 
 
 def quality_report(df: DataFrame, longest: int = 30 * 86_400) -> DataFrame:
@@ -294,6 +325,18 @@ def log_target(df: DataFrame, target: str = "run_time", use_log: bool = True, na
     return df.withColumn(name, F.log1p(y) if use_log else y)
 
 
+def narrow_type(lo: Column, hi: Column) -> Column:
+    """The narrowest integer type that holds a range."""
+    unsigned = F.when(hi < 255, "uint8").when(hi < 65535, "uint16").when(hi < 4294967295, "uint32").otherwise("int64")
+    signed = (
+        F.when((lo > -128) & (hi < 127), "int8")
+        .when((lo > -32768) & (hi < 32767), "int16")
+        .when((lo > -2147483648) & (hi < 2147483647), "int32")
+        .otherwise("int64")
+    )
+    return F.when(lo >= 0, unsigned).otherwise(signed)
+
+
 def profile_schema(df: DataFrame) -> DataFrame:
     """Per column: range, share of distinct text values, and the narrowest fitting type."""
     aggs, parts = [F.count(F.lit(1)).alias("_rows")], {}
@@ -304,16 +347,7 @@ def profile_schema(df: DataFrame) -> DataFrame:
         if isinstance(kind, T.IntegralType):
             aggs += [F.min(col).alias(f"{c}_min"), F.max(col).alias(f"{c}_max")]
             lo, hi = F.col(f"{c}_min"), F.col(f"{c}_max")
-            unsigned = (
-                F.when(hi < 255, "uint8").when(hi < 65535, "uint16").when(hi < 4294967295, "uint32").otherwise("int64")
-            )
-            signed = (
-                F.when((lo > -128) & (hi < 127), "int8")
-                .when((lo > -32768) & (hi < 32767), "int16")
-                .when((lo > -2147483648) & (hi < 2147483647), "int32")
-                .otherwise("int64")
-            )
-            parts[c] = [lo.cast("double"), hi.cast("double"), none, F.when(lo >= 0, unsigned).otherwise(signed)]
+            parts[c] = [lo.cast("double"), hi.cast("double"), none, narrow_type(lo, hi)]
         elif isinstance(kind, T.FractionalType):
             aggs += [F.min(col).alias(f"{c}_min"), F.max(col).alias(f"{c}_max")]
             parts[c] = [F.col(f"{c}_min").cast("double"), F.col(f"{c}_max").cast("double"), none, F.lit("float32")]

@@ -16,10 +16,12 @@ from queuelens.operators.scalars import only_row
 from queuelens.schema import REQUEST_KEY
 
 
-def join_user_stats(df: DataFrame, users: DataFrame, train_mean_runtime: Column | float) -> DataFrame:
+def join_user_stats(
+    df: DataFrame, users: DataFrame, train_mean_runtime: Column | float, heavy: DataFrame | None = None, spread: Sequence[str] = ("job_id",)
+) -> DataFrame:
     """Adds a user's mean run time, job count, accuracy and, where the table has it, frequency.
 
-    Unseen users take the defaults.
+    Unseen users take the defaults. With `heavy` (see `salted_lookup`) the rows of frequent users are dealt to many tasks.
     """
     default = train_mean_runtime if isinstance(train_mean_runtime, Column) else F.lit(train_mean_runtime)
     looked_up = {
@@ -30,11 +32,37 @@ def join_user_stats(df: DataFrame, users: DataFrame, train_mean_runtime: Column
     if "rows" in users.columns:
         looked_up["rows"] = ("user_frequency", F.lit(1).cast("bigint"))
     found = users.select("user", *[F.col(c).alias(f"_{c}") for c in looked_up])
-    return df.join(found, "user", "left").withColumns(
+    joined = df.join(found, "user", "left") if heavy is None else salted_lookup(df, found, "user", heavy, spread)
+    return joined.withColumns(
         {name: F.coalesce(f"_{c}", fallback) for c, (name, fallback) in looked_up.items()}
     ).drop(*[f"_{c}" for c in looked_up])
 
 
+def salted_lookup(
+    df: DataFrame, table: DataFrame, key: str, heavy: DataFrame, spread: Sequence[str], partitions: int | None = None
+) -> DataFrame:
+    """`df` left-joined with `table` (one row for each `key`), where no frequent key is one task's work.
+
+    `heavy` (`key`, share) names the frequent keys, as `sketches.heavy_keys` finds them before the join. Their rows, and those
+    without a key, are dealt to as many salts as their share of the partitions asks for, by a hash of the columns `spread`, so
+    that a task run again deals them alike; the key's one row of `table` is copied to each salt. `heavy` only steers the
+    work: keys that it misses, or names wrongly, get the same rows.
+    """
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Sixteen salts for each partition that the key would fill: hashed salts then fill the partitions evenly.
+    salts = F.greatest(F.ceil(F.col("share") * 16 * partitions), F.lit(1)).cast("int")
+    # Bounded: a sketch names at most some thousand keys.
+    named = F.broadcast(heavy.groupBy(key).agg(F.max("share").alias("share")).select(F.col(key).alias("_key"), salts.alias("_salts")))
+    left = df.join(named, df[key] == F.col("_key"), "left").drop("_key")
+    own = F.when(F.col(key).isNull(), F.lit(16 * partitions)).otherwise(F.coalesce("_salts", F.lit(1)))
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), own).cast("int")).drop("_salts")
+    right = table.withColumnRenamed(key, "_looked").join(named, F.col("_looked") == F.col("_key"), "left")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    right = right.withColumn("_copy", copies).drop("_key", "_salts")
+    same = (F.col(key) == F.col("_looked")) & (F.col("_salt") == F.col("_copy"))
+    return left.join(right, same, "left").drop("_looked", "_salt", "_copy")
+
+
 def join_queue_load(df: DataFrame, queues: DataFrame) -> DataFrame:
     """Adds how many jobs the queue got in that hour of the day; 0 if never seen."""
     found = queues.select("partition", "submit_hour", F.col("job_count").alias("_load"))

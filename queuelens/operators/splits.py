@@ -29,9 +29,14 @@ def flat_cuts(train_size: float = 0.7, val_size: float = 0.15) -> Callable[[int]
 
 
 def temporal_split(df: DataFrame, cuts: Callable[[int], tuple[int, int]] | None = None) -> DataFrame:
-    """Adds `split` by submission order (ties by job id).
+    """Adds `split` by submission order (ties by job id); see `split_label`."""
+    return df.withColumn("split", split_label(df, cuts))
 
-    Two key searches run when this is called; the returned plan only compares each row with two
+
+def split_label(df: DataFrame, cuts: Callable[[int], tuple[int, int]] | None = None) -> Column:
+    """The part of a split by submission order that a row of `df` belongs to.
+
+    Two key searches run when this is called; the returned column only compares each row with two
     constants, so it neither sorts nor shuffles. Rows without a submit time come last.
     """
     cuts = cuts or nested_cuts()
@@ -60,8 +65,7 @@ def temporal_split(df: DataFrame, cuts: Callable[[int], tuple[int, int]] | None
         return (micros < at) | ((micros == at) & (F.col("job_id") < job))
 
     train_end, val_end = (before(k) for k in keys)
-    label = F.when(train_end, "train").when(val_end, "val").otherwise("test")
-    return df.withColumn("split", label)
+    return F.when(train_end, "train").when(val_end, "val").otherwise("test")
 
 
 def _hash_levels(digest: Column) -> list[Column]:

@@ -13,8 +13,8 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForest
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from queuelens.operators import evaluation, target_stats
-from queuelens.operators.filters import clean_jobs_fixed, log_target
-from queuelens.operators.splits import temporal_split
+from queuelens.operators.filters import clean_jobs_fixed, fixed_cuts, log_target, observed_clean
+from queuelens.operators.splits import split_label
 from queuelens.plans import features
 from queuelens.session import materialize
 
@@ -66,7 +66,16 @@ def training_table(jobs: DataFrame) -> DataFrame:
     Trimming cuts and split keys are searched for first (narrow scans), so that the log is then
     filtered, labelled and written in a single pass without a shuffle.
     """
-    return materialize(temporal_split(clean_jobs_fixed(jobs)), "split-jobs", partition_by=("split",))
+    return training_table_and_funnel(jobs)[0]
+
+
+def training_table_and_funnel(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The training table, and how many rows each cleaning stage left, counted by the pass that wrote it."""
+    cuts = fixed_cuts(jobs)
+    label = split_label(clean_jobs_fixed(jobs, cuts=cuts))
+    rows, funnel = observed_clean(jobs, cuts)
+    table = materialize(rows.withColumn("split", label), "split-jobs", partition_by=("split",))
+    return table, funnel()
 
 
 def assemble(frame: DataFrame, columns: list[str], output: str = "features", keep: list[str] | None = None) -> DataFrame:

@@ -151,8 +151,17 @@ def forget_fitted() -> None:
     _FITTED.clear()
 
 
+def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return _once(spark, sf, "split", lambda: training.training_table_and_funnel(jobs(spark, sf)))
+
+
 def split_table(spark: SparkSession, sf: str) -> DataFrame:
-    return _once(spark, sf, "split", lambda: training.training_table(jobs(spark, sf)))
+    return _split(spark, sf)[0]
+
+
+def split_funnel(spark: SparkSession, sf: str) -> DataFrame:
+    """What each cleaning stage left, counted while the split table was written."""
+    return _split(spark, sf)[1]
 
 
 def train_rows(spark: SparkSession, sf: str) -> DataFrame:

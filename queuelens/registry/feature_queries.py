@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queuelens.functions import calendar as cal, names, reports as R, resources as res
-from queuelens.operators import joins, reports, scaling
+from queuelens.operators import joins, reports, scaling, sketches
 from queuelens.operators.aggregates import batch_summary, frequency_counts, label_encode
 from queuelens.operators.scalars import unpivot_row
 from queuelens.plans import features
@@ -15,6 +15,7 @@ from queuelens.registry.catalog import (
 )
 from queuelens.registry.ctes import runtime_text
 from queuelens.schema import MODEL_FEATURES, REQUEST_KEY, SCALED_COLUMNS
+from queuelens.session import materialize
 
 # --- calendar: over the log, and over order dates, which cover seven years ---------------------
 
@@ -257,16 +258,27 @@ def service_rows(spark, sf):
 # --- fitted statistics and the whole recipe ----------------------------------------------------
 
 
-@query(
-    "join_user_stats",
-    """SELECT s.job_id, round(coalesce(u.runtime_mean, train_mean_runtime), 6) AS user_mean_runtime,
-         coalesce(u.job_count, 1) AS user_job_count, round(coalesce(u.accuracy, 1e0), 6) AS user_accuracy_score
-       FROM split_jobs s CROSS JOIN fit_cut LEFT JOIN user_table u ON s."user" = u."user" """,
-)
+_USER_LOOKUP_SQL = """SELECT s.job_id, round(coalesce(u.runtime_mean, train_mean_runtime), 6) AS user_mean_runtime,
+     coalesce(u.job_count, 1) AS user_job_count, round(coalesce(u.accuracy, 1e0), 6) AS user_accuracy_score
+   FROM split_jobs s CROSS JOIN fit_cut LEFT JOIN user_table u ON s."user" = u."user" """
+
+
+def _user_lookup(df):
+    return rounded(df.select("job_id", "user_mean_runtime", "user_job_count", "user_accuracy_score"), "user_mean_runtime", "user_accuracy_score")
+
+
+@query("join_user_stats", _USER_LOOKUP_SQL)
 def join_user_stats(spark, sf):
     fitted = state(spark, sf)
-    df = joins.join_user_stats(split_table(spark, sf), fitted.users, fitted.thresholds["train_mean_runtime"])
-    return rounded(df.select("job_id", "user_mean_runtime", "user_job_count", "user_accuracy_score"), "user_mean_runtime", "user_accuracy_score")
+    return _user_lookup(joins.join_user_stats(split_table(spark, sf), fitted.users, fitted.thresholds["train_mean_runtime"]))
+
+
+@query("join_user_stats_salted", _USER_LOOKUP_SQL)
+def join_user_stats_salted(spark, sf):
+    fitted, df = state(spark, sf), split_table(spark, sf)
+    heavy = sketches.heavy_keys(sketches.frequent_sketches(df, "user"), "user")
+    heavy = materialize(heavy, "heavy-users")
+    return _user_lookup(joins.join_user_stats(df, fitted.users, fitted.thresholds["train_mean_runtime"], heavy))
 
 
 @query(

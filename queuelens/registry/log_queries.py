@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from queuelens import views
-from queuelens.operators import aggregates, filters, reports, splits
+from queuelens.operators import aggregates, filters, reports, sketches, splits
 from queuelens.operators.nested import flatten_request, nest_request
 from queuelens.plans import partials, scoring
 from queuelens.registry.catalog import (
-    clean, jobs, out, query, rounded, sample_results, service_requests, split_table, state, train_rows, trained,
+    clean, jobs, out, query, rounded, sample_results, service_requests, split_funnel, split_table, state,
+    train_rows, trained,
 )
 from queuelens.schema import JOB_SCHEMA, REQUEST_SCHEMA
-from queuelens.session import scratch_path
+from queuelens.session import materialize, scratch_path
 from queuelens.sources import models as model_store, readers, state as state_store, writers
 
 JOB_COLUMNS = [f.name for f in JOB_SCHEMA.fields]
@@ -289,19 +290,24 @@ def clean_jobs(spark, sf):
     return out(filters.clean_jobs(jobs(spark, sf)), JOB_COLUMNS)
 
 
-@query(
-    "clean_funnel",
-    """SELECT 'input' AS stage, CAST(0 AS INTEGER) AS position, count(*) AS rows_kept FROM jobs
-       UNION ALL SELECT 'positive_runtime', 1, count(*) FROM jobs WHERE run_time > 0
-       UNION ALL SELECT 'runtime_bounds', 2, count(*) FROM jobs WHERE run_time BETWEEN 10 AND 604800
-       UNION ALL SELECT 'resource_bounds', 3, count(*) FROM sane_jobs
-       UNION ALL SELECT 'trim_percentile', 4, count(*) FROM sane_jobs, trim_cut WHERE processors_req <= max_processors AND mem_req <= max_mem
-       UNION ALL SELECT 'completed_only', 5, count(*) FROM clean_jobs""",
-)
+_FUNNEL_SQL = """SELECT 'input' AS stage, CAST(0 AS INTEGER) AS position, count(*) AS rows_kept FROM jobs
+   UNION ALL SELECT 'positive_runtime', 1, count(*) FROM jobs WHERE run_time > 0
+   UNION ALL SELECT 'runtime_bounds', 2, count(*) FROM jobs WHERE run_time BETWEEN 10 AND 604800
+   UNION ALL SELECT 'resource_bounds', 3, count(*) FROM sane_jobs
+   UNION ALL SELECT 'trim_percentile', 4, count(*) FROM sane_jobs, trim_cut WHERE processors_req <= max_processors AND mem_req <= max_mem
+   UNION ALL SELECT 'completed_only', 5, count(*) FROM clean_jobs"""
+
+
+@query("clean_funnel", _FUNNEL_SQL)
 def clean_funnel(spark, sf):
     return filters.clean_funnel(jobs(spark, sf))
 
 
+@query("observed_funnel", _FUNNEL_SQL)
+def observed_funnel(spark, sf):
+    return split_funnel(spark, sf)
+
+
 _missing = [
     "job_id", "user", "account", "name", "state", "partition", "qos", "submit_time", "start_time",
     "end_time", "run_time", "wallclock_req", "nodes_req", "processors_req", "mem_req",
@@ -389,11 +395,22 @@ def _range_sql(c, kind):
 _kinds = {f.name: {"bigint": "int", "int": "int", "double": "float", "string": "text"}.get(f.dataType.simpleString()) for f in JOB_SCHEMA.fields}
 
 
-@query("profile_schema", " UNION ALL ".join(_range_sql(c, k) for c, k in sorted(_kinds.items(), key=lambda p: p[1] != "text") if k))
+_PROFILE_SQL = " UNION ALL ".join(_range_sql(c, k) for c, k in sorted(_kinds.items(), key=lambda p: p[1] != "text") if k)
+
+
+@query("profile_schema", _PROFILE_SQL)
 def profile_schema(spark, sf):
     return filters.profile_schema(jobs(spark, sf))
 
 
+@query("profile_sketched", f'SELECT "column", min_value, max_value, suggested FROM ({_PROFILE_SQL})')
+def profile_sketched(spark, sf):
+    df = jobs(spark, sf)
+    days = sketches.column_sketches(df.withColumn("day", F.to_date("submit_time")), ["day"])
+    found = sketches.profile_from_sketches(df, materialize(days, "column-sketches"))
+    return found.select("column", "min_value", "max_value", "suggested")
+
+
 @query(
     "sample_n",
     "SELECT job_id, run_time FROM jobs ORDER BY md5(concat(job_id, '-42')), job_id LIMIT (SELECT count(*) // 5 FROM jobs)",

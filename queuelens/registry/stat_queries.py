@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from queuelens.functions import reports as R
-from queuelens.operators import aggregates, evaluation, history, joins, nested
+from queuelens.operators import aggregates, evaluation, history, joins, nested, sketches
 from queuelens.operators.filters import skip_invalid
+from queuelens.operators.scalars import only_row
 from queuelens.plans import features
 from queuelens.registry.catalog import (
     clean, jobs, query, requests, rounded, sample_predictions, sample_results, service_requests, split_table,
     state, train_rows,
 )
+from queuelens.session import materialize
 
 _medians = {"runtime": "run_time", "wallclock": "wallclock_req", "processors": "processors_req", "mem": "mem_req"}
 
@@ -152,6 +154,34 @@ def latency_percentiles(spark, sf):
     return rounded(aggregates.latency_percentiles(requests(spark, sf)), "p50", "p95", "p99")
 
 
+@query(
+    "latency_sketch_ranks",
+    """SELECT method, p, count(latency_s) AS n, true AS within_bound
+       FROM requests, (VALUES (0.5e0), (0.95e0), (0.99e0)) v(p) WHERE latency_s IS NOT NULL GROUP BY method, p""",
+)
+def latency_sketch_ranks(spark, sf):
+    # The ranks of answers from hourly sketches, counted over all rows; twice the 99 % bound is 5 standard errors.
+    df = requests(spark, sf)
+    hours = sketches.quantile_sketches(df.withColumn("hour", F.date_trunc("hour", "ts")), "latency_s", ["method", "hour"])
+    found = sketches.merged_quantiles(materialize(hours, "latency-sketches"), [0.5, 0.95, 0.99], ["method"])
+    ranks = sketches.rank_check(df, "latency_s", found, ["method"])
+    return ranks.select("method", "p", "n", (F.col("off") <= 2 * sketches.rank_error()).alias("within_bound"))
+
+
+@query(
+    "heavy_users",
+    """SELECT "user", count(*) AS n FROM split_jobs GROUP BY "user" HAVING count(*) >= 0.005e0 * (SELECT count("user") FROM split_jobs)""",
+)
+def heavy_users(spark, sf):
+    # The sketches name candidates; their exact counts decide.
+    df = split_table(spark, sf)
+    days = sketches.frequent_sketches(df.withColumn("day", F.to_date("submit_time")), "user", ["day"])
+    named = sketches.heavy_keys(materialize(days, "user-sketches"), "user", share=0.005)
+    counted = df.join(F.broadcast(named.select("user")), "user").groupBy("user").agg(F.count(F.lit(1)).alias("n"))
+    least = only_row(df.agg((F.count("user") * 0.005).alias("n")))["n"]
+    return counted.where(F.col("n") >= least)
+
+
 # --- evaluation -------------------------------------------------------------------------------
 
 _metric_names = ["mae", "rmse", "r2", "mape"]
