@@ -38,29 +38,45 @@ def join_user_stats(
     ).drop(*[f"_{c}" for c in looked_up])
 
 
+def _salts(heavy: DataFrame, key: str, partitions: int) -> DataFrame:
+    # Sixteen salts for each partition that the key would fill: hashed salts then fill the partitions evenly.
+    salts = F.greatest(F.ceil(F.col("share") * 16 * partitions), F.lit(1)).cast("int")
+    named = heavy.groupBy(key).agg(F.max("share").alias("share")).select(F.col(key).alias("_key"), salts.alias("_salts"))
+    return F.broadcast(named)  # bounded: a sketch names at most some thousand keys
+
+
+def dealt_rows(df: DataFrame, key: str, heavy: DataFrame, spread: Sequence[str], partitions: int) -> DataFrame:
+    """Adds `_salt`: the rows of a frequent key, and those without a key, get many by a hash of `spread`, others 0.
+
+    `heavy` (`key`, share) names the frequent keys, as `sketches.heavy_keys` finds them. A task run again deals its rows alike.
+    """
+    named = df.join(_salts(heavy, key, partitions), df[key] == F.col("_key"), "left").drop("_key")
+    salts = F.when(F.col(key).isNull(), F.lit(16 * partitions)).otherwise(F.coalesce("_salts", F.lit(1)))
+    return named.withColumn("_salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("_salts")
+
+
+def copied_rows(table: DataFrame, key: str, heavy: DataFrame, partitions: int) -> DataFrame:
+    """`table` with a copy for each `_salt` that `dealt_rows` gives its key: together at most 16 a partition more."""
+    named = table.join(_salts(heavy, key, partitions), table[key] == F.col("_key"), "left").drop("_key")
+    return named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+
+
+def dealt_join(dealt: DataFrame, copied: DataFrame, key: str) -> DataFrame:
+    """The left join of rows that were dealt with a table that was copied."""
+    right = copied.withColumnsRenamed({key: "_looked", "_salt": "_copy"})
+    same = (F.col(key) == F.col("_looked")) & (F.col("_salt") == F.col("_copy"))
+    return dealt.join(right, same, "left").drop("_looked", "_salt", "_copy")
+
+
 def salted_lookup(
     df: DataFrame, table: DataFrame, key: str, heavy: DataFrame, spread: Sequence[str], partitions: int | None = None
 ) -> DataFrame:
     """`df` left-joined with `table` (one row for each `key`), where no frequent key is one task's work.
 
-    `heavy` (`key`, share) names the frequent keys, as `sketches.heavy_keys` finds them before the join. Their rows, and those
-    without a key, are dealt to as many salts as their share of the partitions asks for, by a hash of the columns `spread`, so
-    that a task run again deals them alike; the key's one row of `table` is copied to each salt. `heavy` only steers the
-    work: keys that it misses, or names wrongly, get the same rows.
+    `heavy` only steers the work: keys that it misses, or names wrongly, get the same rows.
     """
     partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Sixteen salts for each partition that the key would fill: hashed salts then fill the partitions evenly.
-    salts = F.greatest(F.ceil(F.col("share") * 16 * partitions), F.lit(1)).cast("int")
-    # Bounded: a sketch names at most some thousand keys.
-    named = F.broadcast(heavy.groupBy(key).agg(F.max("share").alias("share")).select(F.col(key).alias("_key"), salts.alias("_salts")))
-    left = df.join(named, df[key] == F.col("_key"), "left").drop("_key")
-    own = F.when(F.col(key).isNull(), F.lit(16 * partitions)).otherwise(F.coalesce("_salts", F.lit(1)))
-    left = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), own).cast("int")).drop("_salts")
-    right = table.withColumnRenamed(key, "_looked").join(named, F.col("_looked") == F.col("_key"), "left")
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
-    right = right.withColumn("_copy", copies).drop("_key", "_salts")
-    same = (F.col(key) == F.col("_looked")) & (F.col("_salt") == F.col("_copy"))
-    return left.join(right, same, "left").drop("_looked", "_salt", "_copy")
+    return dealt_join(dealt_rows(df, key, heavy, spread, partitions), copied_rows(table, key, heavy, partitions), key)
 
 
 def join_queue_load(df: DataFrame, queues: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from queuelens.registry.catalog import (
 )
 from queuelens.schema import JOB_SCHEMA, REQUEST_SCHEMA
 from queuelens.session import materialize, scratch_path
-from queuelens.sources import models as model_store, readers, state as state_store, writers
+from queuelens.sources import layout, models as model_store, readers, state as state_store, writers
 
 JOB_COLUMNS = [f.name for f in JOB_SCHEMA.fields]
 JOB_SQL = ", ".join(f'"{c}"' for c in JOB_COLUMNS)
@@ -77,6 +77,17 @@ def csv_to_parquet(spark, sf):
     return out(stored, ["submit_month", "job_id", "run_time", "submit_time"])
 
 
+@query(
+    "clustered_layout",
+    """SELECT date_trunc('day', submit_time)::DATE AS day, "user", count(*) AS jobs, CAST(sum(run_time) AS BIGINT) AS run_time
+       FROM jobs GROUP BY 1, 2""",
+)
+def clustered_layout(spark, sf):
+    path = layout.clustered_parquet(jobs(spark, sf), scratch_path(spark, "log-clustered"), spark.sparkContext.defaultParallelism)
+    by_day = spark.read.schema(JOB_SCHEMA).parquet(path).groupBy(F.to_date("submit_time").alias("day"), "user")
+    return by_day.agg(F.count(F.lit(1)).alias("jobs"), F.sum("run_time").alias("run_time"))
+
+
 @query("sink_parquet", "SELECT job_id, state, run_time, mem_req, submit_time FROM jobs")
 def sink_parquet(spark, sf):
     path = writers.sink_parquet(jobs(spark, sf), scratch_path(spark, "log"), by_month=True)

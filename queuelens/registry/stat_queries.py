@@ -14,6 +14,7 @@ from queuelens.registry.catalog import (
     state, train_rows,
 )
 from queuelens.session import materialize
+from queuelens.sources import layout
 
 _medians = {"runtime": "run_time", "wallclock": "wallclock_req", "processors": "processors_req", "mem": "mem_req"}
 
@@ -182,6 +183,20 @@ def heavy_users(spark, sf):
     return counted.where(F.col("n") >= least)
 
 
+@query(
+    "colocated_lookup",
+    """SELECT j.job_id, a.accuracy FROM jobs j LEFT JOIN
+         (SELECT "user", round(avg(wallclock_req / greatest(run_time, 1)), 6) AS accuracy FROM jobs WHERE state = 'COMPLETED' GROUP BY 1) a
+       ON j."user" = a."user" """,
+)
+def colocated_lookup(spark, sf):
+    df = jobs(spark, sf).select("job_id", "user", "state", "wallclock_req", "run_time")
+    heavy = materialize(sketches.heavy_keys(sketches.frequent_sketches(df, "user"), "user"), "heavy-users")
+    known = aggregates.user_accuracy(df.where(F.col("state") == "COMPLETED"))
+    log, table = layout.colocated(df, known, "user", heavy, ["job_id"], spark.sparkContext.defaultParallelism)
+    return rounded(layout.colocated_lookup(log, table, "user").select("job_id", "accuracy"), "accuracy")
+
+
 # --- evaluation -------------------------------------------------------------------------------
 
 _metric_names = ["mae", "rmse", "r2", "mape"]

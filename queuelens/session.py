@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 # its interpreter (about half the speed on wide feature frames).
 JVM_OPTIONS = "-XX:-DontCompileHugeMethods"
 
+TIMESTAMP_TYPE = "spark.sql.parquet.outputTimestampType"
+
 SESSION_CONF = {
     "spark.driver.extraJavaOptions": JVM_OPTIONS,
     "spark.executor.extraJavaOptions": JVM_OPTIONS,
     "spark.sql.session.timeZone": "UTC",
+    # The older 96-bit times carry no smallest and largest value, so no reader could skip by time.
+    TIMESTAMP_TYPE: "TIMESTAMP_MICROS",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
