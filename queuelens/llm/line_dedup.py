@@ -14,12 +14,15 @@ a key shared by many lines makes no pairs. Each line's earliest partner is verif
 distance on the texts.
 
 Edge cases: NULL text has no lines and stays NULL; empty and blank lines are never dropped; lines are
-compared without white space at their ends; rows with a NULL id come last; rows equal in id and text
+compared without white space at their ends; a line of any length is hashed in blocks; other columns are
+not read and not returned, whatever their names; rows with a NULL id come last; rows equal in id and text
 are one document and get the same result; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, functions as F
 
 from queuelens.session import materialize
@@ -28,6 +31,9 @@ MIN_NEAR = 20
 #: Keys of two bigints that a broadcast may hold: about 50 MB.
 BROADCAST_ROWS = 1_000_000
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
+BASE = 1_000_003
+#: Characters of a line that are hashed at once.
+BLOCK = 32_768
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -67,52 +73,75 @@ def few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def deletion_keys(lines: list[str]):
-    """Hashes (two 62-bit numbers) of each line without its i-th character, and of the whole line."""
+@functools.cache
+def powers():
+    """Powers of the base up to a block's length, a row for each prime; built once a process."""
     import numpy as np
 
-    out = []
-    longest = max(map(len, lines), default=0) + 1
-    powers = []
-    for p in PRIMES:
-        base, row = 1_000_003, np.ones(longest + 1, np.uint64)
-        step = 1
-        for i in range(1, longest + 1):
-            step = step * base % p
-            row[i] = step
-        powers.append(row)
-    for line in lines:
-        code = np.frombuffer(line.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
-        n, parts = len(code), []
-        for p, power in zip(PRIMES, powers):
-            # sum of c[j] * base^(n - 1 - j); without i, what stands before i loses one power.
-            p = np.uint64(p)
-            whole = code * power[n - 1 :: -1][:n] % p
-            shorter = code * np.concatenate((power[n - 2 :: -1][: n - 1], [0])).astype(np.uint64) % p if n > 1 else np.zeros(1, np.uint64)
-            before = np.concatenate(([0], np.cumsum(shorter)[:-1])).astype(np.uint64)
-            behind = np.concatenate((np.cumsum(whole[::-1])[::-1][1:], [0])).astype(np.uint64)
-            parts.append((np.concatenate(((before + behind) % p, [whole.sum() % p])), n))
-        a, b, c, d = (x for x, _ in parts)
-        out.append(((a << np.uint64(31) | b).astype(np.int64), (c << np.uint64(31) | d).astype(np.int64)))
-    return out
+    row, primes = np.ones((len(PRIMES), 1), np.uint64), np.array(PRIMES, np.uint64)[:, None]
+    while row.shape[1] < BLOCK:
+        step = np.array([[pow(BASE, row.shape[1], p)] for p in PRIMES], np.uint64)
+        row = np.concatenate((row, row * step % primes), axis=1)
+    return row, primes
+
+
+def variant_blocks(line: str):
+    """(v1, v2, first spot) for blocks of a line's deletions in order, then for the line itself with spot -1.
+
+    A variant is hashed to two 62-bit numbers. With w(j) the weighted character j and s(i) the sum of those before i,
+    what is left without i is s(i) shifted by one place and whole - s(i + 1). Memory is the line's and one block's.
+    """
+    import numpy as np
+
+    table, primes = powers()
+    code = np.frombuffer(line.encode("utf-32-le"), "<u4")
+    n = len(code)
+
+    def weighted(at: int):
+        part = code[at : at + BLOCK].astype(np.uint64) + np.uint64(1)
+        found = part * table[:, len(part) - 1 :: -1][:, : len(part)] % primes
+        behind = n - at - len(part)
+        return found * np.array([[pow(BASE, behind, p)] for p in PRIMES], np.uint64) % primes if behind else found
+
+    def packed(v):
+        return tuple((v[i] << np.uint64(31) | v[i + 1]).astype(np.int64) for i in (0, 2))
+
+    whole = np.zeros((len(PRIMES), 1), np.uint64)
+    for at in range(0, n, BLOCK):
+        first = weighted(at)
+        whole = (whole + first.sum(axis=1, keepdims=True)) % primes
+    unshift = np.array([[pow(BASE, -1, p)] for p in PRIMES], np.uint64)
+    before = np.zeros_like(whole)
+    for at in range(0, n, BLOCK):
+        own = first if n <= BLOCK else weighted(at)
+        upto = (before + np.cumsum(own, axis=1)) % primes
+        sums = np.concatenate((before, upto[:, :-1]), axis=1)
+        yield *packed((sums * unshift + whole + primes - upto) % primes), at
+        before = upto[:, -1:]
+    yield *packed(whole), -1
 
 
 def with_variants(batches):
-    """(id, v1, v2, spot): a row for each deletion of a line, and one with spot -1 for the line itself."""
+    """(id, v1, v2, spot): a row for each deletion of a line, and one with spot -1 for the line itself.
+
+    Rows leave in batches of about a block, so a line of any length takes no more than its own characters.
+    """
     import numpy as np
     import pyarrow as pa
 
+    names = ["id", "v1", "v2", "spot"]
+    ready, n = [], 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
-            lines = part.column("line").to_pylist()
-            keys = deletion_keys(lines)
-            owner = np.repeat(np.arange(len(lines)), [len(a) for a, _ in keys])
-            spots = np.concatenate([np.append(np.arange(len(a) - 1), -1) for a, _ in keys]) if keys else []
-            v1, v2 = (np.concatenate([k[i] for k in keys]) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("id").take(pa.array(owner)), pa.array(v1), pa.array(v2), pa.array(spots, pa.int32())], ["id", "v1", "v2", "spot"]
-            )
+        for number, line in zip(batch.column("id").to_pylist(), batch.column("line")):
+            for v1, v2, at in variant_blocks(line.as_py()):
+                spot = np.arange(at, at + len(v1), dtype=np.int32)
+                ready.append((np.full(len(v1), number, np.int64), v1, v2, spot))
+                n += len(v1)
+                if n >= BLOCK:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*ready)], names)
+                    ready, n = [], 0
+    if ready:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*ready)], names)
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame, min_near: int) -> DataFrame:

@@ -199,14 +199,48 @@ def test_repeated_rows_share_their_lines(spark):
     assert sorted((r.doc_id, r.n_dropped) for r in got.collect()) == [(1, 0), (1, 0), (2, 1)]
 
 
+def variants(line):
+    """The hashes of a line's deletions, in order, and of the line."""
+    return [np.concatenate(c) for c in list(zip(*line_dedup.variant_blocks(line)))[:2]]
+
+
+def test_variants_are_the_hashes_of_shorter_lines(monkeypatch):
+    line = "".join(random.Random(2).choice("abé\U0001f600 ") for _ in range(90))
+    short = [variants(line[:i] + line[i + 1 :]) for i in range(len(line))]
+    for block in (line_dedup.BLOCK, 64, 7, 89, 90, 91):
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        line_dedup.powers.cache_clear()
+        a, b = variants(line)
+        assert len(a) == len(line) + 1
+        assert [(x, y) for x, y in zip(a[:-1], b[:-1])] == [(s[0][-1], s[1][-1]) for s in short]
+    monkeypatch.undo()
+    line_dedup.powers.cache_clear()
+
+
+def test_variants_of_long_lines_leave_in_blocks():
+    import pyarrow as pa
+
+    lines = ["ab" * 500_000, "short line", "", "z" * 70_000]
+    batch = pa.RecordBatch.from_pydict({"id": [7, 8, 9, 10], "line": lines})
+    found = list(line_dedup.with_variants([batch]))
+    assert max(b.num_rows for b in found) < 2 * line_dedup.BLOCK + 100
+    rows = pa.Table.from_batches(found).to_pandas()
+    for number, line in zip((7, 8, 9, 10), lines):
+        own = rows[rows.id == number]
+        assert list(own.spot) == [*range(len(line)), -1]
+        # The same letter taken out anywhere in a run gives one variant.
+    assert rows[(rows.id == 10) & (rows.spot >= 0)].v1.nunique() == 1
+
+
 def test_all_edits_share_a_half_and_a_variant():
     """Every line within one edit of another one is found, whatever the place of the edit."""
     line = "abcabcaabbccabcabcabcaab"
     edits = {line[:i] + c + line[i + k :] for i in range(len(line) + 1) for c in ("", "a", "z") for k in (0, 1)} - {line}
-    own = line_dedup.deletion_keys([line])[0]
+    own = variants(line)
     mine = {(int(a), int(b), i) for i, (a, b) in enumerate(zip(*own))}
     whole = (int(own[0][-1]), int(own[1][-1]))
-    for other, keys in zip(edits, line_dedup.deletion_keys(list(edits))):
+    for other in edits:
+        keys = variants(other)
         theirs = {(int(a), int(b), i) for i, (a, b) in enumerate(zip(*keys))}
         if len(other) == len(line):
             assert mine & theirs
