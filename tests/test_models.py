@@ -198,3 +198,20 @@ def test_categorical_member_reads_the_users_statistic(spark, job_rows):
     ranks = {r["feature"]: r["importance"] for r in fitted.importance.collect()}
     assert ranks[training.TARGET] > 0
     assert fitted.targets.count() == 60
+
+
+def test_trees_are_fitted_by_as_many_tasks_as_cores(spark, sf, monkeypatch):
+    fit, seen = training.train_member, []
+
+    def watched(name, frame, p, state):
+        seen.append((frame.rdd.getNumPartitions(), frame.count()))
+        return fit(name, frame, p, state)
+
+    monkeypatch.setattr(training, "train_member", watched)
+    table, before = catalog.split_table(spark, sf), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        training.train_all(table, training.TrainingParams(members=("forest",), trees=2, forest_depth=2), catalog.state(spark, sf))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen == [(spark.sparkContext.defaultParallelism, table.where("split <> 'test'").count())]
