@@ -69,6 +69,17 @@ def test_reuse_is_the_same_for_any_cut_into_micro_batches(spark, tmp_path):
     assert whole == cut and len(whole) == 100 and 0 < sum(whole.values()) < 97
 
 
+def test_reuse_calls_and_stores_per_group_of_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "KEY_GROUPS", 3, raising=False)
+    # 40 keys in 3 groups over 3 micro-batches; a key's own answer alone decides.
+    rows = [_request(i, 50 * (i // 40), cpus=1 + i % 40) for i in range(400)]
+    schema, folder = REQUEST, tmp_path
+    found, running = _streamed(spark, folder, [rows[:150], rows[150:290], rows[290:]], schema, streams.stream_reuse)
+    assert {r["request_id"]: r["reused"] for r in found.collect()} == {i: (i // 40) % 7 != 0 for i in range(400)}
+    states = [sum(o.numRowsTotal for o in p.stateOperators) for p in running.recentProgress]
+    assert 0 < max(states) <= 3
+
+
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     def calls(seconds):
         return [(_at(s), "Predict") for s in seconds]
