@@ -23,16 +23,16 @@ def rolling_totals(
     id_column: str,
     time_us: Column,
     measures: dict[str, Column],
-    windows: dict[str, int],
+    windows: dict[str, int | None],
     chunk_us: int = HOUR // 6,
 ) -> DataFrame:
     """(id, key, `<measure>_<window>`...) of every row of `df`: sums of bigint measures over [t - window, t).
 
-    Rows are first summed per (key, moment); only these sums are questioned and carried, and the answers are
-    joined back to the rows. Rows without a time have no history, so their sums are 0.
+    A window of None has no start. Rows are first summed per (key, moment); only these sums are questioned and
+    carried, and the answers are joined back to the rows. Rows without a time have no history, so their sums are 0.
     """
     names = list(measures)
-    offsets = {"now": 0, **windows}
+    offsets = {"now": 0, **{w: d for w, d in windows.items() if d is not None}}
     rows = df.select(
         F.col(id_column).alias("_id"), F.col(by).alias("_by"), time_us.alias("_t"), *[m.cast("bigint").alias(n) for n, m in measures.items()]
     )
@@ -63,7 +63,8 @@ def rolling_totals(
         before = F.coalesce(F.col(name), zero) + F.coalesce(F.col(f"_c_{name}"), zero)
         return F.sum(F.when(F.col("_w") == window, before))
 
-    found = {f"{n}_{w}": total(n, 0) - total(n, i) for i, w in enumerate(offsets) if w != "now" for n in names}
+    places = {w: i for i, w in enumerate(offsets)}
+    found = {f"{n}_{w}": total(n, 0) - total(n, places[w]) if w in places else total(n, 0) for w in windows for n in names}
     told = answers.groupBy(F.col("_by").alias("_tb"), F.col("_t").alias("_tt")).agg(*[c.alias(n) for n, c in found.items()])
     joined = rows.join(told, F.col("_by").eqNullSafe(F.col("_tb")) & (F.col("_t") == F.col("_tt")), "left")
     return joined.select(F.col("_id").alias(id_column), F.col("_by").alias(by), *[F.coalesce(n, zero).alias(n) for n in found])

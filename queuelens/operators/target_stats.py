@@ -11,11 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from queuelens.operators.history import DAY, rolling_totals
+from queuelens.operators.history import rolling_totals
 
 UNIT = 1e6
-#: Longer than any log, so that a window over it starts before the first row.
-EVER = 100_000 * DAY
 
 
 def in_units(label: Column) -> Column:
@@ -45,7 +43,7 @@ def ordered_statistics(df: DataFrame, column: str, label: Column, prior: float,
     """Adds `<column>_target` from strictly earlier rows of the same category (NULL is one)."""
     packed = df.select(F.struct("*").alias("_row"), F.col(column).alias("_category"), F.unix_micros(time).alias("_at"), in_units(label).alias("_units"))
     measures = {"n": F.when(F.col("_units").isNull(), 0).otherwise(1), "total": F.coalesce("_units", F.lit(0))}
-    known = rolling_totals(packed, "_category", "_row", F.col("_at"), measures, {"ever": EVER})
+    known = rolling_totals(packed, "_category", "_row", F.col("_at"), measures, {"ever": None})
     return known.select("_row.*", smoothed(F.col("total_ever"), F.col("n_ever"), prior, weight).alias(f"{column}_target"))
 
 

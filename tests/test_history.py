@@ -62,3 +62,12 @@ def test_no_row_is_lost_or_merged(spark):
     assert seen == [(1, 0), (1, 1), (2, 0), (3, 0)]
     assert {r["user_jobs_7d"] for r in got if 100 <= r["job_id"] < 900} == {0}
     assert [(r["user_jobs_7d"], r["user_mean_runtime_7d"]) for r in got if r["job_id"] == 900] == [(500, 1.0)]
+
+
+def test_a_window_without_a_start_asks_once_a_moment(spark):
+    rows = [(i, "ab"[i % 2], 600_000_000 * (i // 4) + i % 3, i) for i in range(60)] + [(60, None, 5, 1), (61, "a", None, 1)]
+    df = spark.createDataFrame(rows, "id int, k string, t bigint, x bigint")
+    found = history.rolling_totals(df, "k", "id", F.col("t"), {"x": F.col("x")}, {"ever": None, "hour": history.HOUR})
+    got = {r["id"]: (r["x_ever"], r["x_hour"]) for r in found.collect()}
+    before = {i: [(u, v) for _, j, u, v in rows if j == k and None not in (t, u) and u < t] for i, k, t, _ in rows}
+    assert got == {i: (sum(v for _, v in before[i]), sum(v for u, v in before[i] if u >= t - history.HOUR) if t else 0) for i, _, t, _ in rows}
