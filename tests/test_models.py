@@ -1,3 +1,5 @@
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,3 +217,18 @@ def test_trees_are_fitted_by_as_many_tasks_as_cores(spark, sf, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen == [(spark.sparkContext.defaultParallelism, table.where("split <> 'test'").count())]
+
+
+def test_members_are_fitted_side_by_side_on_a_share_of_the_cores(spark, sf, monkeypatch):
+    fit, seen, both = training.train_member, [], threading.Barrier(2, timeout=60)
+
+    def watched(name, frame, p, state):
+        both.wait()  # breaks unless two members are under way at once
+        seen.append(frame.rdd.getNumPartitions())
+        return fit(name, frame, p, state)
+
+    monkeypatch.setattr(training, "train_member", watched)
+    table, p = catalog.split_table(spark, sf), training.TrainingParams(members=("boosted", "forest"), max_iter=1, max_depth=2, trees=2, forest_depth=2)
+    fitted = training.train_all(table, p, catalog.state(spark, sf))
+    assert list(fitted.models) == ["boosted", "forest"]
+    assert seen == [max(1, spark.sparkContext.defaultParallelism // 2)] * 2
