@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -148,6 +149,23 @@ def test_lm_scores_by_the_definition(spark, sf):
     assert model.tokens == sum(sum(r["n"]) for r in words)
 
 
+def test_lm_seats_travel_as_one_run_of_integers(spark, sf):
+    docs = table(spark, sf, "documents").where("doc_id < 60")
+    model = pitman_yor.train(docs, samples=2, burn=1)
+    # No list is taken apart between the sweeps and the scores.
+    assert [f.dataType.simpleString() for f in model.seats.schema.fields] == ["binary", "bigint", "binary"]
+    assert dict(pitman_yor.word_rows(docs).dtypes)["entries"] == "binary"
+    m, u, context, n = np.array([2, 0, 1]), np.array([1, 0, 1]), np.array([5, 6, 700]), np.array([3, 1, 1])
+    seatings = [(n + i, np.array([2, 1]) + i, np.array([1, 0, 1]) * (i + 1)) for i in range(2)]
+    column = pitman_yor.pack(m, u, context, n, seatings)
+    column = pa.array([None, *[x.as_py() for x in column]], column.type)
+    *lists, kept = pitman_yor.unpack(column, 2)
+    for got, expected in zip(lists, ([0, *m], [0, *u], context, [1, 1, 3], n)):
+        assert got.tolist() == list(expected)
+    for got, (t2, t1, t0) in zip(kept, seatings):
+        assert [x.tolist() for x in got] == [t2.tolist(), t1.tolist(), [0, *t0]]
+
+
 def test_lm_beats_its_base_on_held_out_documents_and_reruns_agree(spark, sf):
     rows = QUERIES["op12_lm_scoring"](spark, sf).collect()
     held = [r for r in rows if r.held_out]
