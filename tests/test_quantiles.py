@@ -83,3 +83,13 @@ def test_grouped_paths_agree(spark, limit):
         assert got[key] == pytest.approx(expected, rel=1e-12)
     assert got["gap"] == [4.0] * len(PROBS)
     assert got["empty"] == [None] * len(PROBS)
+
+
+def test_rows_are_read_once_for_the_buckets_and_once_for_the_values_inside(spark, tmp_path):
+    values = np.random.default_rng(8).lognormal(0, 2, 2000)
+    _frame(spark, values).write.parquet(str(tmp_path / "rows"))
+    found = exact_quantiles(spark.read.parquet(str(tmp_path / "rows")), {"v": PROBS})
+    assert found.first()["v"] == pytest.approx(np.quantile(values, PROBS), rel=1e-12, abs=0)
+    found.collect()  # the plan that ran is this frame's own
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") == 2
