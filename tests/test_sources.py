@@ -48,3 +48,20 @@ def test_materialized_tables_lie_in_the_shared_folder(spark):
     df = materialize(spark.range(3), "t")
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     assert all(shared_folder(spark) in f for f in df.inputFiles()) and df.count() == 3
+
+
+def test_job_log_is_derived_by_as_many_tasks_as_cores(spark, sf, tmp_path, monkeypatch):
+    from queuelens import views
+    from queuelens.registry import catalog
+
+    derive, seen = views.jobs_from_events, []
+
+    def watched(events):
+        seen.append(events.rdd.getNumPartitions())
+        return derive(events)
+
+    monkeypatch.setattr(views, "jobs_from_events", watched)
+    views.events(spark, sf).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    rows = catalog.jobs(spark, str(tmp_path))
+    assert seen == [spark.sparkContext.defaultParallelism]
+    assert rows.exceptAll(derive(views.events(spark, sf))).isEmpty() and rows.count() == views.events(spark, sf).count()
