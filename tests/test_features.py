@@ -122,3 +122,20 @@ def test_slices_with_missing_values_equal_a_whole_fit(job_rows, tmp_path):
     df = job_rows(*rows)
     path = partials.add_slices(df, str(tmp_path / "state"), F.coalesce("user", F.lit("none")))
     _same_state(partials.merged_state(df.sparkSession, path), features.fit(df))
+
+
+def test_queues_and_dictionaries_are_learnt_side_by_side(job_rows, monkeypatch):
+    import threading
+
+    from queuelens.plans import features
+
+    store, both = features.materialize, threading.Barrier(2, timeout=60)
+
+    def watched(df, label, *rest):
+        if label in ("queues", "codes"):
+            both.wait()  # breaks unless both are under way at once
+        return store(df, label, *rest)
+
+    monkeypatch.setattr(features, "materialize", watched)
+    state = features.fit(job_rows({"qos": "a"}, {"qos": "b"}, {"user": None}))
+    assert state.users.count() == 1 and state.queues.count() == 1 and state.codes.where("column = 'qos'").count() == 3

@@ -232,3 +232,46 @@ def test_members_are_fitted_side_by_side_on_a_share_of_the_cores(spark, sf, monk
     fitted = training.train_all(table, p, catalog.state(spark, sf))
     assert list(fitted.models) == ["boosted", "forest"]
     assert seen == [max(1, spark.sparkContext.defaultParallelism // 2)] * 2
+
+
+# --- what the fit of the members costs besides the trees
+
+
+def test_target_statistics_are_added_before_the_features(spark, sf, monkeypatch):
+    """The shuffles of the running totals carry whole rows, so the features come after them; the rows are the same."""
+    table, state = catalog.split_table(spark, sf), catalog.state(spark, sf)
+    targets = training.fit_targets(table.where("split = 'train'"))
+    known, seen = training.log_target(training.features.transform(table.where("split <> 'test'"), state)), []
+    train = training.target_stats.ordered_statistics(known.where("split = 'train'"), "user", F.col("label"), training.prior_of(targets))
+    wide = train.unionByName(training.with_targets(known.where("split = 'val'"), targets)).withColumn("is_validation", F.col("split") == "val")
+    plain = training.assemble(wide, state.features, keep=["job_id", "split", "label", "is_validation", training.TARGET])
+    ordered = training.target_stats.ordered_statistics
+
+    def watched(df, *rest):
+        seen.append(df.columns)
+        return ordered(df, *rest)
+
+    monkeypatch.setattr(training.target_stats, "ordered_statistics", watched)
+    frame = training.learning_frame(table, state, targets=targets)
+    assert "job_id" in seen[0] and "total_compute_units" not in seen[0]
+    assert sorted(map(str, frame.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_every_member_scores_a_row_once(spark, sf, monkeypatch):
+    predict, seen = training.member_predictions, []
+
+    def watched(frame, models):
+        seen.append(sorted(models))
+        return predict(frame, models)
+
+    monkeypatch.setattr(training, "member_predictions", watched)
+    p = training.TrainingParams(members=("boosted", "forest"), max_iter=1, max_depth=2, trees=2, forest_depth=2)
+    fitted = training.train_all(catalog.split_table(spark, sf), p, catalog.state(spark, sf))
+    assert seen == [["boosted", "forest"]] * 2  # training and validation rows, and the test rows
+    assert fitted.metrics.count() == 7
+
+
+def test_small_tables_of_a_model_need_no_python_worker(ensemble):
+    for df in (ensemble.importance, ensemble.rounds):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "LocalTableScan" in plan and "ExistingRDD" not in plan
